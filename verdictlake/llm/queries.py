@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import sharding
+from verdictlake.llm import decontamination, licenses, sharding
 
 MIB = 1 << 20
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that share a window."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license mentions."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of at most 64 MiB."""
     return sharding.extendible_shards(_table(spark, sf_dir, "documents"), 64 * MIB)
@@ -26,11 +36,15 @@ def sharding_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op3_sharding": op3_sharding,
     "sharding_fine": sharding_fine,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op2_license_scan": licenses.oracle(),
     "op3_sharding": sharding.oracle(64 * MIB),
     "sharding_fine": sharding.oracle(MIB // 16),
 }
