@@ -1,13 +1,16 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are the lower-case words that say something about the label: those in at least LEAST_DOCS of the labelled sample with a
-chi-square of at least CHI_SQUARE (at most TERMS, the highest). Vectors are TF-IDF over them, (1 + log tf) x idf, of length 1.
-The examples form an inverted index in blocks of BLOCK; for each term it keeps every block's highest weight. A query bounds
-each block's best cosine by these, takes blocks from the highest bound down and stops where the bound can't reach its K-th
-best any more, so the neighbours are exact. Votes are weighted by cosine and mapped to probabilities by a monotone fit on
-the examples' own leave-one-out votes. Texts without a term get the share of toxic ones among such examples.
-
-The labelled sample is bounded at SAMPLE rows, chosen by hash of the id.
+Terms are lower-case words and word beginnings (marked by a star) that speak for the label: those in enough documents of the
+labelled sample, toxic at twice the usual rate or more, with a chi-square of at least CHI_SQUARE (at most TERMS, the highest).
+Vectors are TF-IDF over them; all words without a term share one dimension of little weight, so that a term counts for more
+in a short text. The examples that have terms form an inverted index in blocks of BLOCK; for each term it keeps every block's
+highest weight. A query bounds each block's best cosine by these, takes blocks from the highest bound down and stops where
+the bound can't reach its K-th best any more, so the neighbours are exact. Votes are weighted by cosine and mapped to
+probabilities by a rising fit on the examples' own leave-one-out votes. Texts without a term get the share of toxic ones
+among such examples.
+
+The labelled sample is bounded at SAMPLE rows, chosen by hash of the id. Terms are counted in Spark; only the chosen ones
+and the sample's vectors over them reach the driver.
 
 Defined cases: a null text is an empty one; equal cosines go to the example that sorts first; null labels are left out; with
 no labels every score is 0; repeated rows each get their score; extra columns are ignored.
@@ -25,9 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdictlake.llm.common import durable
 from verdictlake.llm.quality import labelled_sample
 
-SAMPLE, TERMS, LEAST_DOCS, CHI_SQUARE, K, BLOCK = 10_000, 2048, 5, 15.0, 15, 64
+SAMPLE, TERMS, CHI_SQUARE, K, BLOCK = 10_000, 2048, 30.0, 15, 64
+#: A term occurs in this many documents at least, or this share of the sample if that is more.
+LEAST_DOCS, LEAST_SHARE = 5, 0.002
+BEGINNINGS = (4, 5, 6, 7)
+#: Weight of a word without a term.
+REST = 0.01
+#: Words whose terms a task remembers.
+REMEMBERED = 300_000
 
 _WORD = re.compile(r"\w+")
 
@@ -36,129 +47,145 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def terms_of(word: str) -> list[str]:
+    """A word's candidates for terms."""
+    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
+
+
 class Index:
-    """Labelled examples, by term."""
+    """Labelled examples by term. An example is (id, label, {term: count}, number of words without a term)."""
 
-    def __init__(self, texts: list[Counter], labels: np.ndarray, ids: list):
+    def __init__(self, terms: list[str], examples: list[tuple[str, float, dict[str, int], int]]):
+        self.terms = {t: k for k, t in enumerate(sorted(terms))}
+        labels = np.array([e[1] for e in examples])
         self.prior = float(labels.mean()) if len(labels) else 0.0
-        self.terms = self._choose(texts, labels)
-        n = max(1, len(texts))
         df = np.zeros(len(self.terms))
-        for t in texts:
-            for w in t.keys() & self.terms.keys():
-                df[self.terms[w]] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        vectors = [self.vector(t) for t in texts]
-        some = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        without = labels[[i for i, (t, _) in enumerate(vectors) if not len(t)]]
-        self.empty_score = float((without.sum() + self.prior) / (len(without) + 1)) if len(labels) else 0.0
+        for e in examples:
+            for t in e[2]:
+                df[self.terms[t]] += 1
+        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
+        vectors = [self.vector(e[2], e[3]) for e in examples]
+        some = [i for i, e in enumerate(examples) if e[2]]
+        without = np.array([e[1] for e in examples if not e[2]])
+        self.empty_score = float((without.sum() + self.prior) / (len(without) + 1))
         # like examples lie side by side, so that bounds are tight
-        some.sort(key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), str(ids[i])))
-        self.labels, self.ids = labels[some], [ids[i] for i in some]
-        m, blocks = len(some), -(-len(some) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        some.sort(key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), examples[i][0]))
+        self.labels, self.ids = labels[some] if some else np.zeros(0), [examples[i][0] for i in some]
+        self.blocks, dims = -(-len(some) // BLOCK), len(self.terms) + 1
+        lists: list[list[tuple[int, float]]] = [[] for _ in range(dims)]
         for row, i in enumerate(some):
             for t, w in zip(*vectors[i], strict=True):
                 lists[t].append((row, w))
-        self.starts = np.cumsum([0, *map(len, lists)])
+        starts = np.cumsum([0, *map(len, lists)])
         self.rows = np.array([r for x in lists for r, _ in x], np.int64)
         self.weights = np.array([w for x in lists for _, w in x])
-        self.block_max = np.zeros((len(self.terms), blocks))
-        for t in range(len(self.terms)):
-            part = slice(self.starts[t], self.starts[t + 1])
+        #: where the postings of a term in a block begin
+        self.begin = np.stack([starts[t] + np.searchsorted(self.rows[starts[t] : starts[t + 1]], np.arange(self.blocks + 1) * BLOCK) for t in range(dims)]) if dims else np.zeros((0, 1), np.int64)
+        self.block_max = np.zeros((dims, self.blocks))
+        for t in range(dims):
+            part = slice(starts[t], starts[t + 1])
             np.maximum.at(self.block_max[t], self.rows[part] // BLOCK, self.weights[part])
-        own = np.array([self.vote(*vectors[i], skip=row) for row, i in enumerate(some)]).reshape(m)
+        own = np.array([self.vote(*self.nearest(*vectors[i], skip=row)) for row, i in enumerate(some)])
         self.knots, self.levels = isotonic(own, self.labels)
 
-    @staticmethod
-    def _choose(texts: list[Counter], labels: np.ndarray) -> dict[str, int]:
-        n, ones = len(texts), float(labels.sum())
-        df, hit = Counter(), Counter()
-        for t, y in zip(texts, labels, strict=True):
-            df.update(t.keys())
-            if y:
-                hit.update(t.keys())
-        found = []
-        for w, c in df.items():
-            if LEAST_DOCS <= c < n and 0 < ones < n:
-                a = hit[w]
-                found.append((n * (a * n - c * ones) ** 2 / (c * (n - c) * ones * (n - ones)), w))
-        return {w: k for k, w in enumerate(sorted(w for chi, w in sorted(found, key=lambda x: (-x[0], x[1]))[:TERMS] if chi >= CHI_SQUARE))}
-
-    def vector(self, counts: Counter | dict) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text; both empty if it has none."""
-        terms = np.array(sorted(self.terms[w] for w in counts if w in self.terms), np.int64)
-        names = {self.terms[w]: c for w, c in counts.items() if w in self.terms}
-        weights = np.array([(1 + np.log(names[t])) * self.idf[t] for t in terms.tolist()])
-        return terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples with a cosine over 0, and the cosines; exact."""
-        if not len(terms) or not len(self.labels):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.block_max[terms]
-        order = np.argsort(-bound, kind="stable")
-        rows, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(rows) >= K and bound[b] < worst - 1e-12):
+    def vector(self, counts: dict[str, int], others: int) -> tuple[np.ndarray, np.ndarray]:
+        """Dimensions and weights; the last dimension stands for all words without a term."""
+        dims = np.array([*(self.terms[t] for t in counts), len(self.terms)])
+        weights = np.array([*counts.values(), others * REST]) * np.r_[self.idf[dims[:-1]], 1.0]
+        order = np.argsort(dims)
+        return dims[order], (weights / max(np.sqrt((weights**2).sum()), 1e-12))[order]
+
+    def nearest(self, dims: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples and their cosines, exact; equal cosines by place."""
+        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
+        bound = weights @ self.block_max[dims]
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if len(rows) >= K and bound[b] < cosines[-1] - 1e-12:
                 break
             got = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.starts[t], self.starts[t + 1]
-                x, y = lo + np.searchsorted(self.rows[lo:hi], (b * BLOCK, (b + 1) * BLOCK))
-                got[self.rows[x:y] - b * BLOCK] += w * self.weights[x:y]
+            for t, w in zip(dims.tolist(), weights.tolist(), strict=True):
+                x, y = self.begin[t, b], self.begin[t, b + 1]
+                if x < y:
+                    got[self.rows[x:y] - b * BLOCK] += w * self.weights[x:y]
             hit = np.flatnonzero(got > 0)
             hit = hit[hit + b * BLOCK != skip]
-            rows, cosines = np.r_[rows, hit + b * BLOCK], np.r_[cosines, got[hit]]
-            top = np.lexsort((rows, -np.round(cosines, 12)))[:K]
+            rows, cosines = np.r_[rows, hit + b * BLOCK], np.r_[cosines, np.round(got[hit], 12)]
+            top = np.lexsort((rows, -cosines))[:K]
             rows, cosines = rows[top], cosines[top]
-            worst = cosines[-1] if len(cosines) else 0.0
         return rows, cosines
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> float:
-        """The share of toxic neighbours, weighted by cosine; one vote of the average is added."""
-        rows, cosines = self.nearest(terms, weights, skip)
-        return float((cosines @ self.labels[rows] + self.prior) / (cosines.sum() + 1)) if len(rows) else self.prior
+    def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
+        """The toxic neighbours' share of weight, which grows as the distance shrinks; one weak vote of the average is added."""
+        weight = 1 / (1.05 - np.minimum(cosines, 1.0))
+        return float((weight @ self.labels[rows] + self.prior) / (weight.sum() + 1))
 
-    def score(self, counts: Counter | dict) -> float:
-        terms, weights = self.vector(counts)
-        if not len(terms):
-            return self.empty_score
-        return float(np.interp(self.vote(terms, weights), self.knots, self.levels)) if len(self.knots) else self.prior
-
-    def evidence(self, counts: Counter | dict) -> list[str]:
-        """The terms that a text's score rests on, then its three nearest examples."""
-        terms, weights = self.vector(counts)
-        names = {k: w for w, k in self.terms.items()}
-        rows, cosines = self.nearest(terms, weights)
-        return [*(names[t] for t in terms[np.argsort(-weights, kind="stable")][:5].tolist()), *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]
+    def score(self, counts: dict[str, int], others: int) -> tuple[float, list[str]]:
+        """The probability, and what it rests on: terms, then the three nearest examples as id:cosine:label."""
+        if not counts or not len(self.labels):
+            return self.empty_score, []
+        rows, cosines = self.nearest(*self.vector(counts, others))
+        level = float(np.interp(self.vote(rows, cosines), self.knots, self.levels))
+        return level, [*sorted(counts, key=lambda t: (-counts[t], t))[:5], *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and levels of the rising step fit (pool adjacent violators), each pool with half a vote of either class."""
-    order = np.argsort(x, kind="stable")
+    """Knots and levels of the rising fit (pool adjacent violators), each pool at its mean place, with half a vote of either class."""
     pools: list[list[float]] = []
+    order = np.lexsort((y, x))
     for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
         pools.append([a, b, 1.0])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            _, s, n = pools.pop()
-            pools[-1] = [pools[-1][0] + 0.0, pools[-1][1] + s, pools[-1][2] + n]
-    return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+            a, s, n = pools.pop()
+            pools[-1] = [pools[-1][0] + a, pools[-1][1] + s, pools[-1][2] + n]
+    return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate([(p[1] + 0.5) / (p[2] + 1) for p in pools]) if pools else np.zeros(0)
+
+
+class Counts:
+    """Counts the terms of texts, remembering the words it has seen."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms, self.seen = terms, {}
+
+    def __call__(self, text: str | None) -> tuple[dict[str, int], int]:
+        found: Counter = Counter()
+        others, seen = 0, self.seen
+        for w, n in Counter(words(text)).items():
+            own = seen.get(w)
+            if own is None:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                own = seen[w] = tuple(t for t in terms_of(w) if t in self.terms)
+            if own:
+                for t in own:
+                    found[t] += n
+            else:
+                others += n
+        return dict(found), others
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic") -> Index:
-    rows = sorted(map(tuple, labelled_sample(docs, labels, label_col, usable, SAMPLE).select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), "label").mapInArrow(_counted, "doc_id string, words array<string>, n array<int>, label double").collect()))
-    return Index([Counter(dict(zip(r[1], r[2], strict=True))) for r in rows], np.array([r[3] for r in rows]), [r[0] for r in rows])
+    sample = durable(labelled_sample(docs, labels, label_col, usable, SAMPLE))
+    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
 
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, label in zip(b.column(1), b.column(2), strict=True):
+                own = list({t for w in set(words(text.as_py())) for t in terms_of(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label.as_py()] * len(own), pa.float64())], ["term", "label"])
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        counts = [Counter(words(t.as_py())) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), b.column(2)], ["doc_id", "words", "n", "label"])
+    counts = sample.mapInArrow(candidates, "term string, label double").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("label").alias("a"))
+    chi = F.lit(float(n)) * (F.col("a") * n - F.col("c") * ones) ** 2 / (F.col("c") * (n - F.col("c")) * ones * (n - ones))
+    telling = counts.filter((F.col("c") >= max(LEAST_DOCS, LEAST_SHARE * n)) & (F.col("c") < n) & (F.col("a") * n >= 2 * F.col("c") * ones))
+    terms = [r[0] for r in telling.withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()] if 0 < ones < n else []
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counts({t: k for k, t in enumerate(terms)})
+        for b in batches:
+            found = [count(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c, _ in found], pa.list_(pa.string())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int64())), pa.array([o for _, o in found], pa.int64())], ["id", "label", "terms", "n", "others"])
 
-def _found(text: str | None, terms: dict[str, int]) -> Counter:
-    return Counter(w for w in words(text) if w in terms)
+    rows = sample.select(F.col("doc_id").cast("string").alias("id"), "text", "label").mapInArrow(counted, "id string, label double, terms array<string>, n array<long>, others long").collect()
+    return Index(terms, sorted(((r[0], r[1], dict(sorted(zip(r[2], r[3], strict=True))), r[4]) for r in rows), key=str))
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,9 +194,10 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counts(held.value.terms)
         for b in batches:
-            counts = [_found(t.as_py(), held.value.terms) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.score(c) for c in counts], pa.float64()), pa.array([held.value.evidence(c) if c else [] for c in counts], pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
+            found = [held.value.score(*count(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
     return source.mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StringType()))]))
 
@@ -180,7 +208,8 @@ def accepted(df: DataFrame, index: Index, most: float = 0.3) -> DataFrame:
     column = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counts(held.value.terms)
         for b in batches:
-            yield b.filter(pa.array([held.value.score(_found(t.as_py(), held.value.terms)) < most for t in b.column(column)], pa.bool_()))
+            yield b.filter(pa.array([held.value.score(*count(t.as_py()))[0] < most for t in b.column(column)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
