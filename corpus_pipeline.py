@@ -1,11 +1,68 @@
-"""The corpus pipeline over documents (filled stage by stage)."""
+"""The corpus pipeline: documents in, piece ids of the documents worth training on out.
 
-STAGES: list = []
+STAGES names the steps in order. Each takes (spark, docs, sf_dir) and returns documents with the columns they came with, but
+for the last, which returns doc_id, ids, n_tokens and exact. Each is written and read again before the next one.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from verdictlake.llm import decontamination, quality, queries, sentencepiece_codec, simhash, toxicity
+
+#: Near-duplicates: shingles of five words, 256-bit fingerprints, in which texts that share eight tenths of their shingles
+#: differ by about 40 bits, up to 11 of them in the first 64.
+NEAR = {"shingle": 5, "words": 4, "distance": 40, "probe_distance": 11}
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality of 0.5 or more."""
+    return quality.accepted(docs, queries.quality_model(spark, sf_dir))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity below 0.3."""
+    return toxicity.accepted(docs, queries.toxicity_index(spark, sf_dir))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group."""
+    return simhash.deduplicate(docs, **NEAR)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's pieces."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.load())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pieces", encode_pieces),
+]
+
+#: SQL can express neither the trained stages nor the piece search; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table; the steps in between are Parquet in the folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for name, stage in before:
+        path = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}", name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return last(spark, docs, sf_dir)

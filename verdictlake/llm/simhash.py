@@ -145,9 +145,9 @@ def allocate(histogram: np.ndarray, distance: int) -> list[int]:
     return best[need][1]
 
 
-def forest(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) that join the members of each bucket that are within the distance; keys are sorted. No more links than members."""
-    n, parent = len(keys), np.arange(len(keys))
+    n, parent, first = len(keys), np.arange(len(keys)), np.ascontiguousarray(prints[:, 0])
     left: list[int] = []
     right: list[int] = []
 
@@ -163,9 +163,9 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
         alive = alive[keys[alive] == keys[alive + d]]
         if not len(alive):
             break
-        i = alive[parent[alive] != parent[alive + d]]
-        differ = np.bitwise_count(prints[i] ^ prints[i + d]).sum(1, dtype=np.int64)
-        linked = i[(differ <= distance)]
+        i = alive[np.bitwise_count(first[alive] ^ first[alive + d]) <= probe]
+        i = i[parent[i] != parent[i + d]]
+        linked = i[np.bitwise_count(prints[i] ^ prints[i + d]).sum(1, dtype=np.int64) <= distance] if prints.shape[1] > 1 else i
         for a in linked.tolist():
             x, y = find(a), find(a + d)
             if x != y:
@@ -173,7 +173,7 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndar
                 left.append(a)
                 right.append(a + d)
         if len(linked):
-            while (up := parent[parent]).tolist() != parent.tolist():
+            while not np.array_equal(up := parent[parent], parent):
                 parent = up
     return np.array(left, np.int64), np.array(right, np.int64)
 
@@ -236,7 +236,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
             rest = table.slice(whole).to_batches()[0] if whole < len(keys) else None
             if whole:
                 fp = table.column(1).combine_chunks().slice(0, whole)
-                a, b = forest(keys[:whole], _words(fp, words), distance)
+                a, b = forest(keys[:whole], _words(fp, words), distance, probe)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (fp.take(pa.array(a)), fp.take(pa.array(b)))], ["u", "v"])
 
@@ -252,7 +252,8 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: i
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
     linked = linked.join(lowest, "root").select("fp", "lowest")
-    by_print = nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
+    # kept, so that both sides of the last join are plain shuffles, which Spark splits where many copies share a fingerprint
+    by_print = durable(nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id")))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
