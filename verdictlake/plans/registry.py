@@ -25,3 +25,6 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from verdictlake.plans import documents, relational, streams, texts  # noqa: E402, F401  each registers its queries
