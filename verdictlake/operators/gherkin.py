@@ -19,6 +19,8 @@ def segments(text: Column) -> Column:
         F.filter(parts, lambda p: p.rlike(_START)),
         F.array().cast("array<string>"),
         lambda a, p: F.when((F.size(a) > 0) & F.get(a, F.size(a) - 1).rlike(bare), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.get(a, F.size(a) - 1), p)))).otherwise(F.concat(a, F.array(p))),
+        # a header at the end without a title starts nothing
+        lambda a: F.when((F.size(a) > 1) & F.get(a, F.size(a) - 1).rlike(bare), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), F.array(F.concat(F.get(a, F.size(a) - 2), F.get(a, F.size(a) - 1))))).otherwise(a),
     )
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     titled = F.transform(joined, lambda p: F.struct(trimmed(F.regexp_extract(p, r"(?d)^\s*Scenario(?:\s+Outline)?\s*:\s*([^\n]+)", 1)).alias("title"), trimmed(p).alias("text")))
