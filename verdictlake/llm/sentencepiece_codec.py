@@ -2,8 +2,9 @@
 
 A text is cut where no piece can reach across: before each run of spaces, and around line ends that no piece holds. The
 distinct words of a batch are laid out by length, and words of a length advance together, one end position a step: prefix
-hashes give the hash of every substring, a bitmap and a search in the sorted piece hashes find its piece (compared letter by
-letter), and the maximum over the last pieces is stored with a pointer back.
+hashes give the hash of every substring, which is looked for in the sorted piece hashes (from where its leading bits point,
+and compared by a second hash), and the maximum over the last pieces is stored with a pointer back. A place goes on only
+with the substrings that some piece begins with.
 
 For unigram models a path scores the sum of its pieces. For merge (BPE) models that sum isn't what the model means: there
 every prefix of a word has just one segmentation by merges, and a piece may follow another only if no merge would have
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,17 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Words that a task remembers.
 REMEMBERED = 300_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE, _BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes whose leading bits tell apart, short strings' too."""
+    with np.errstate(over="ignore"):
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+#: A control character at which kernels cut.
+_CUT = "\x01"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -45,21 +57,24 @@ class Vocabulary:
         own = [i for i, k in enumerate(kinds) if k in (NORMAL, USER) and pieces[i]]
         self.longest = max(len(pieces[i]) for i in own)
         self.name = hashlib.sha256(repr((pieces, scores, kinds, algorithm, dummy_prefix)).encode()).hexdigest()
-        self.letters = np.zeros((len(pieces), self.longest), np.uint32)
-        hashes = np.zeros(len(own), np.uint64)
+        hashes, second = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
+        begins: set[int] = set()
         with np.errstate(over="ignore"):
             for k, i in enumerate(own):
-                points = np.frombuffer(pieces[i].encode("utf-32-le"), np.uint32)
-                self.letters[i, : len(points)] = points
-                h = np.uint64(0)
-                for c in points:
-                    h = h * _BASE + np.uint64(c) + np.uint64(1)
-                hashes[k] = h
+                h = g = np.uint64(0)
+                for c in np.frombuffer(pieces[i].encode("utf-32-le"), np.uint32):
+                    h, g = h * _BASE + np.uint64(c) + np.uint64(1), g * _BASE_2 + np.uint64(c) + np.uint64(1)
+                    begins.add(int(_spread(h)) >> 43)
+                hashes[k], second[k] = _spread(h), g
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, _BASE)])
+            self.powers_2 = np.cumprod(np.r_[np.uint64(1), np.full(self.longest, _BASE_2)])
         order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], np.array(own, np.int64)[order]
-        self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[self.keys >> np.uint64(43)] = True
+        self.keys, self.second, self.ids = hashes[order], second[order], np.array(own, np.int64)[order]
+        #: where the sorted keys with given leading bits start, and how many there are at most
+        self.start = np.searchsorted(self.keys >> np.uint64(47), np.arange((1 << 17) + 1).astype(np.uint64))
+        self.most = int(np.diff(self.start).max())
+        self.begins = np.zeros(1 << 21, bool)
+        self.begins[list(begins)] = True
         self.bytes_ = np.array([-1] * 256)
         for i, k in enumerate(kinds):
             if k == BYTE:
@@ -68,6 +83,8 @@ class Vocabulary:
         self.unknown_score = float(self.scores[own].min()) - 10
         self.line_end = "\n" not in "".join(pieces[i] for i in own)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else (b" \xe2\x81\x87 " if k == UNKNOWN else b"") for p, k in zip(pieces, kinds, strict=True)]
+        self.raw_sizes, self.raw_bytes = np.array([len(r) for r in self.raw], np.int64), np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_starts = np.cumsum(np.r_[0, self.raw_sizes[:-1]])
         if algorithm == BPE:
             self._merges(own)
 
@@ -187,34 +204,41 @@ class Encoder:
             self.seen[slot[fresh]], self.verdict[slot[fresh]] = key[fresh], out[fresh]
         return out
 
-    def _find(self, points: np.ndarray, prefix: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows whose letters i to j are a piece, and the pieces."""
-        h = prefix[j] - prefix[i] * self.v.powers[j - i]
-        rows = np.flatnonzero(self.v.maybe[h >> np.uint64(43)])
-        h = h[rows]
-        at = np.minimum(np.searchsorted(self.v.keys, h), len(self.v.keys) - 1)
-        hit = self.v.keys[at] == h
-        rows, ids = rows[hit], self.v.ids[at[hit]]
-        same = np.ones(len(rows), bool)
-        for k in range(j - i):
-            same &= self.v.letters[ids, k] == points[i + k, rows]
-        if j - i < self.v.longest:
-            same &= self.v.letters[ids, j - i] == 0
-        return rows[same], ids[same]
+    def _find(self, prefix: np.ndarray, prefix_2: np.ndarray, i: int, j: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the live rows: those whose letters i to j are a piece, the pieces, and those with which a piece begins."""
+        v = self.v
+        h = _spread(prefix[j, live] - prefix[i, live] * v.powers[j - i])
+        going = v.begins[h >> np.uint64(43)]
+        live, h = live[going], h[going]
+        at = v.start[(h >> np.uint64(47)).astype(np.int64)]
+        place = np.full(len(h), -1)
+        for k in range(v.most):
+            x = np.minimum(at + k, len(v.keys) - 1)
+            place = np.where(v.keys[x] == h, x, place)
+        hit = np.flatnonzero(place >= 0)
+        rows, place = live[hit], place[hit]
+        same = prefix_2[j, rows] - prefix_2[i, rows] * v.powers_2[j - i] == v.second[place]
+        return rows[same], v.ids[place[same]], live
 
     def _viterbi(self, words: list[str], length: int) -> list[bytes]:
         """Ids, as bytes of 32-bit numbers, of words of one length (longer ones are filled up with zeros)."""
         v, n = self.v, len(words)
         points = np.frombuffer("".join(w.ljust(length, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, length)
         points = np.ascontiguousarray(points.T)  # a row for each place, as words advance together
-        prefix = np.zeros((length + 1, n), np.uint64)
+        prefix, prefix_2 = np.zeros((length + 1, n), np.uint64), np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * _BASE + points[j] + np.uint64(1)
+            prefix_2[j + 1] = prefix_2[j] * _BASE_2 + points[j] + np.uint64(1)
         best, size, last = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -1, np.int64)
         best[0] = 0
+        live: dict[int, np.ndarray] = {}
         for j in range(1, length + 1):
-            for i in range(max(0, j - v.longest), j):
-                rows, ids = self._find(points, prefix, i, j)
+            live[j - 1] = np.arange(n)
+            live.pop(j - 1 - v.longest, None)
+            for i in sorted(live):
+                if not len(live[i]):
+                    continue
+                rows, ids, live[i] = self._find(prefix, prefix_2, i, j, live[i])
                 if j - i == 1:  # a letter without a piece stands alone
                     known = np.zeros(n, bool)
                     known[rows] = True
@@ -286,13 +310,50 @@ class Encoder:
             out += [SPACE + w for w in more]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.segments(t) if t else [] for t in texts]
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The segments of each text. Arrow's kernels cut most texts; those that hold the mark they cut at, or the space marker, are cut one by one."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, _CUT), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
+        t = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, "")) if self.v.dummy_prefix else texts
+        t = pc.replace_substring(t, "\n", f"{_CUT}\n{_CUT}") if self.v.line_end else t
+        cut = pc.split_pattern(pc.replace_substring_regex(t, "( +)", _CUT + r"\1"), _CUT)
+        if odd.any():
+            rows = cut.to_pylist()
+            for k in np.flatnonzero(odd):
+                rows[k] = self.segments(texts[int(k)].as_py())
+            cut = pa.array(rows, pa.list_(pa.string()))
+        return cut
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column one after the other, and how many each text has."""
+        cut = self._cut(texts)
+        coded = cut.flatten().dictionary_encode()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        self._learn({w for p in parts for w in p}.difference(self.words))
-        found = self.words
-        return [np.frombuffer(b"".join([found[w] for w in p]), "<i4") for p in parts]
+        words = [w.replace(" ", SPACE) for w in coded.dictionary.to_pylist()]
+        self._learn({w for w in words if w}.difference(self.words))
+        own = [self.words[w] if w else b"" for w in words]
+        n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, flat = np.r_[0, np.cumsum(n)], np.frombuffer(b"".join(own), "<i4")
+        index = coded.indices.to_numpy()
+        sizes = n[index]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + sizes, sizes)]
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        return ids, np.diff(np.r_[0, ends][offsets])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def decode_column(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        size = self.v.raw_sizes[ids]
+        ends = np.cumsum(size)
+        blob = self.v.raw_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.v.raw_starts[ids] - ends + size, size)].tobytes()
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].tolist()
+        prefix = self.v.dummy_prefix
+        return [blob[a + (prefix and blob[a : a + 1] == b" ") * (a < b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.v.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -301,7 +362,7 @@ class Encoder:
 
 def _batches(whole: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of bytes of text, or one row."""
-    sizes = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in whole.column(column)])
+    sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()
     at = 0
     while at < whole.num_rows:
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most)))
@@ -309,11 +370,6 @@ def _batches(whole: pa.RecordBatch, column: int, most: int = 8_000_000) -> Itera
         at += n
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-
-
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, n_tokens, exact (whether decoding the ids gave the text back)."""
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -324,10 +380,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         encoder = encoder_of(held.value)
         for whole in batches:
             for b in _batches(whole, 1):
-                texts = b.column(1).to_pylist()
-                ids = encoder.encode(texts)
-                exact = [encoder.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array(exact, pa.bool_())], schema.names)
+                ids, sizes = encoder.encode_column(b.column(1))
+                back = pa.array(encoder.decode_column(ids, sizes), pa.string())
+                exact = pc.equal(back, pc.fill_null(b.column(1), ""))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes, pa.int64()), exact], schema.names)
 
     return source.mapInArrow(run, schema)
 
