@@ -92,19 +92,19 @@ class Parser:
         self.tables = [self._table(np.searchsorted(points, texts[k]) + 2) for k in self.langs]
 
     def _table(self, text: np.ndarray) -> np.ndarray:
-        """Entry (state, symbol): twice the next state's first entry, plus one if a phrase ended before this symbol."""
+        """Entry (state, symbol): four times the next state's first entry, plus how many phrases ended with this symbol: the
+        one before it, if it can't go on, and its own if the language lacks the symbol."""
         edges = suffix_automaton(text)
         after_start = np.zeros(self.width, np.int64)
         for c, to in edges[0].items():
             after_start[c] = to
         table = np.empty((len(edges), self.width), np.int64)
-        table[:] = after_start * 2 * self.width + 1
-        table[:, 0] = np.arange(len(edges)) * 2 * self.width
-        table[0, 2:] -= 1  # at the start no phrase is open ...
-        table[0, 1:][after_start[1:] == 0] = 1  # ... but a symbol the language lacks is one of its own
+        table[:] = after_start * 4 * self.width + 1 + (after_start == 0)
+        table[0] -= 1  # at the start no phrase is open
+        table[:, 0] = np.arange(len(edges)) * 4 * self.width
         for s, own in enumerate(edges):
             for c, to in own.items():
-                table[s, c] = to * 2 * self.width
+                table[s, c] = to * 4 * self.width
         return table.ravel().astype(np.int32)
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -126,8 +126,8 @@ class Parser:
                 state, count = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
                 for symbol in steps:
                     got = table.take(state + symbol)
-                    count += got & 1
-                    state = got >> 1
+                    count += got & 3
+                    state = got >> 2
                 count += state > 0  # the phrase that the piece's end cuts
                 out[at:to, j] = np.bincount(np.repeat(np.arange(len(n)), n), count, len(n))
             at = to
