@@ -2,7 +2,7 @@
 
 Statistics are taken from whole texts inside the tasks. Trees are grown on the driver from at most SAMPLE labelled rows,
 chosen by hash of the id: each statistic is cut into at most BINS bins by quantiles, a node's gradients and Hessians are
-summed by bin, and the cut of highest gain is taken, level by level. A tree of depth DEPTH is three flat arrays; scoring
+summed by bin, and the cut of highest gain that leaves a Hessian of LEAST on either side is taken, level by level. A tree of depth DEPTH is three flat arrays; scoring
 walks all trees of all rows of a batch together.
 
 Defined cases: a null text is an empty one, whose statistics are 0; labels that are null or lack a document are left out;
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, BINS, DEPTH, TREES, RATE, RIDGE, LEAST = 10_000, 64, 4, 60, 0.15, 1.0, 10.0
+SAMPLE, BINS, DEPTH, TREES, RATE, RIDGE, LEAST = 10_000, 64, 4, 60, 0.15, 1.0, 0.2
 
 NAMES = ("log_chars", "log_words", "mean_word", "upper", "digit", "space", "newline", "comma_stop", "bang_question", "pipe", "symbol", "non_ascii", "distinct_words", "top_word", "distinct_lines", "mean_line", "distinct_trigrams", "short_words", "long_words", "letters_only", "ends_stop", "upper_words", "digit_words")
 
@@ -94,7 +94,7 @@ class Trees:
                     gs, hs = (np.bincount(key, v, width * BINS).reshape(width, BINS).cumsum(1) for v in (g, h))
                     gt, ht = gs[:, -1:], hs[:, -1:]
                     gain = gs**2 / (hs + RIDGE) + (gt - gs) ** 2 / (ht - hs + RIDGE) - gt**2 / (ht + RIDGE)
-                    gain[(hs < LEAST / 4) | (ht - hs < LEAST / 4)] = 0
+                    gain[(hs < LEAST) | (ht - hs < LEAST)] = 0
                     k = gain.argmax(1)
                     better = gain[np.arange(width), k] > best
                     best[better], where[better], bin_[better] = gain[np.arange(width), k][better], j, k[better]
