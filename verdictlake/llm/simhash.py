@@ -3,18 +3,18 @@
 A fingerprint has 64 bits (or several words of 64) from the hashes of a text's word shingles. Documents link where their
 fingerprints differ in at most `distance` bits. Links are found between distinct fingerprints only:
 
-1. The 64 probe bits are cut into partitions of 16; bits that correlate, on a bounded sample, go to the same partition.
+1. The 64 bits of a probed word are cut into partitions of 16; bits that correlate, on a bounded sample, go to the same partition.
 2. Each partition gets a threshold of its own. If the thresholds plus one add up to the probe distance plus one, two
    fingerprints within that distance are within the threshold in one partition at least. Dynamic programming picks the
-   thresholds of least cost, from the candidate counts that the partitions' exact value histograms (at most 4 x 65,536
-   counts, whatever the input) give for every threshold; a partition with a hot value gets none.
+   thresholds of least cost, from the candidate counts that the partitions' exact value histograms (65,536 counts each,
+   whatever the input) give for every threshold; a partition with a hot value gets none.
 3. A fingerprint goes to the buckets of all values within half the threshold of its own, where any two meet that are within
    the threshold. Buckets that the histogram shows to be large are cut into blocks, every pair of which meets in a bucket.
 4. Sorted buckets stream through the tasks, which verify the pairs and pass on one link only where two groups join, so a
    bucket's rows never become its pairs; connected components close the links.
 
-With 64 bits the probe bits are the whole fingerprint and no link is lost. With more words, probes use the first word only:
-`probe_distance` is then the share of the distance that the first word may hold.
+With 64 bits the probed word is the whole fingerprint and no link is lost. With more words, the first `probes` words are
+probed, each on its own: a link is found if one of them differs in `probe_distance` bits or fewer.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id keeps its row, and a component
 all of whose ids are null has a null component_id; repeated rows each get their result; empty tables give no rows; extra
@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from verdictlake.llm.common import durable
 from verdictlake.llm.graph import components
 
+#: Partitions of a word, and their bits.
 PARTS, WIDTH = 4, 16
 SAMPLE = 20_000
 #: Members of a bucket from which it is cut into blocks.
@@ -87,6 +88,8 @@ def _words(column: pa.Array, words: int) -> np.ndarray:
 
 def correlated_bits(sample: np.ndarray) -> list[list[int]]:
     """The 64 bits in PARTS groups of WIDTH; each group starts with the lowest free bit and takes what correlates most with it."""
+    if not len(sample):
+        return [list(range(p * WIDTH, (p + 1) * WIDTH)) for p in range(PARTS)]
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(float)
     spread = bits.std(0)
     safe = np.where(spread > 0, spread, 1.0)
@@ -104,12 +107,12 @@ def correlated_bits(sample: np.ndarray) -> list[list[int]]:
     return groups
 
 
-def _values(first: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Each partition's value of each fingerprint: (n, PARTS)."""
-    out = np.zeros((len(first), len(groups)), np.int64)
+def _values(prints: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """Each partition's value of each fingerprint: (n, partitions), PARTS for each probed word."""
+    out = np.zeros((len(prints), len(groups)), np.int64)
     for p, group in enumerate(groups):
         for k, bit in enumerate(group):
-            out[:, p] |= ((first >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << k
+            out[:, p] |= ((prints[:, p // PARTS] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << k
     return out
 
 
@@ -146,8 +149,11 @@ def allocate(histogram: np.ndarray, distance: int) -> list[int]:
 
 
 def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join the members of each bucket that are within the distance; keys are sorted. No more links than members."""
-    n, parent, first = len(keys), np.arange(len(keys)), np.ascontiguousarray(prints[:, 0])
+    """Links (positions) that join the members of each bucket that are within the distance; keys are sorted. No more links than members.
+
+    Members of a bucket are first compared in the word that it was probed by.
+    """
+    n, parent, first = len(keys), np.arange(len(keys)), prints[np.arange(len(keys)), keys >> (40 + WIDTH) >> 2]
     left: list[int] = []
     right: list[int] = []
 
@@ -178,27 +184,27 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> t
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None, probes: int = 1) -> DataFrame:
     """From distinct fingerprints (fp): links u, v that leave the components of all links within the distance as they are."""
-    probe = distance if probe_distance is None else probe_distance
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column(0)
-    groups = correlated_bits(_words(sample, words)[:, 0]) if len(sample) else [list(range(p * WIDTH, (p + 1) * WIDTH)) for p in range(PARTS)]
+    probe, parts = distance if probe_distance is None else probe_distance, PARTS * probes
+    sample = _words(nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column(0), words)
+    groups = [g for w in range(probes) for g in correlated_bits(sample[:, w])]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n = np.unique(_values(_words(batch.column(0), words)[:, 0], groups) + np.arange(PARTS) * (1 << WIDTH), return_counts=True)
+            keys, n = np.unique(_values(_words(batch.column(0), words), groups) + np.arange(parts) * (1 << WIDTH), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
 
     counts = nodes.select("fp").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    histogram = np.zeros(PARTS << WIDTH, np.int64)
+    histogram = np.zeros(parts << WIDTH, np.int64)
     histogram[counts.column("k").to_numpy()] = counts.column("n").to_numpy()
-    histogram = histogram.reshape(PARTS, 1 << WIDTH)
-    thresholds = allocate(histogram, probe)
+    histogram = histogram.reshape(parts, 1 << WIDTH)
+    thresholds = [t for w in range(probes) for t in allocate(histogram[w * PARTS : (w + 1) * PARTS], probe)]
     members = within(histogram, max(THRESHOLDS) // 2)
     #: how many blocks each bucket has
     blocks = np.stack([-(-members[p, max(0, t) // 2] // BLOCK) for p, t in enumerate(thresholds)]).clip(1)
     flips = [np.array([sum(1 << b for b in c) for r in range(t // 2 + 1) for c in itertools.combinations(range(WIDTH), r)], np.int64) if t >= 0 else np.array([], np.int64) for t in thresholds]
-    cut = nodes.sparkSession.sparkContext.broadcast((groups, flips, {p: {int(v): int(blocks[p, v]) for v in np.flatnonzero(blocks[p] > 1)} for p in range(PARTS)}))
+    cut = nodes.sparkSession.sparkContext.broadcast((groups, flips, {p: {int(v): int(blocks[p, v]) for v in np.flatnonzero(blocks[p] > 1)} for p in range(parts)}))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, flips, large = cut.value
@@ -206,7 +212,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 prints = _words(batch.column(0), words)
-                values = _values(prints[:, 0], groups)
+                values = _values(prints, groups)
                 own = (prints[:, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
                 rows, keys = [], []
                 for p, masks in enumerate(flips):
@@ -244,11 +250,11 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
     return buckets.mapInArrow(joined, "u binary, v binary")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, probe_distance: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, probe_distance: int | None = None, probes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest id that links reach, a document's own included."""
     prints = durable(fingerprints(df, shingle, words, id_col, text_col))
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = durable(components(links(nodes, distance, words, probe_distance)))
+    roots = durable(components(links(nodes, distance, words, probe_distance, probes)))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
     linked = linked.join(lowest, "root").select("fp", "lowest")
