@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdictlake.llm import decontamination, quality, queries, sentencepiece_codec, simhash, toxicity
 
-#: Near-duplicates: shingles of five words, 256-bit fingerprints, in which texts that share eight tenths of their shingles
-#: differ by 39 bits on average (their standard deviation is 6), 10 of them (3) in each word of 64. Two words are probed.
-NEAR = {"shingle": 5, "words": 4, "distance": 44, "probe_distance": 11, "probes": 2}
+#: Near-duplicates: texts that share 80 % of their sets of five-word shingles. Candidates come from 256-bit fingerprints, in
+#: which such texts differ by 39 bits on average (their standard deviation is 6): all up to 57, from probes in all four words.
+NEAR = {"shingle": 5, "percent": 80, "words": 4, "distance": 57, "probe_distance": 11, "probes": 4}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group."""
-    return simhash.deduplicate(docs, **NEAR)
+    """One document, that of the smallest id, of each group that similarities of 0.8 or more link."""
+    return simhash.one_of_each(docs, **NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII characters that are neither letters (lower case) nor digits; every other code point belongs to a word.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,3 +37,16 @@ def spaced(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo the number of parts; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return _holds_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits from all of a row's columns but those that hold maps; only rows that are equal in these share a key. Ids play no part."""
+    columns = [df[f.name] for f in df.schema.fields if not _holds_map(f.dataType)]
+    parts = [x for c in columns for x in (F.isnull(c), c)]  # a hash passes over nulls
+    return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), *parts)), 16, "0") for k in (1, 2)))

@@ -14,7 +14,13 @@ fingerprints differ in at most `distance` bits. Links are found between distinct
    bucket's rows never become its pairs; connected components close the links.
 
 With 64 bits the probed word is the whole fingerprint and no link is lost. With more words, the first `probes` words are
-probed, each on its own: a link is found if one of them differs in `probe_distance` bits or fewer.
+probed, each on its own: a link is found if one of them differs in `probe_distance` bits or fewer. With `any_part` all that
+meet in a bucket are compared over the whole fingerprint, so pairs whose words all differ in more bits are found as well
+where one partition is within its threshold.
+
+one_of_each() uses the links as candidates only. Their components, in which every pair of similar texts lies, are gone
+through with the texts' exact sets of shingles, and only texts whose sets are similar enough are linked. Texts with equal
+sets count once; components of many texts are cut into blocks, every pair of which meets in a task.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id keeps its row, and a component
 all of whose ids are null has a null component_id; repeated rows each get their result; empty tables give no rows; extra
@@ -23,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import durable
+from verdictlake.llm.common import durable, row_key
 from verdictlake.llm.graph import components
 
 #: Partitions of a word, and their bits.
@@ -41,6 +48,8 @@ PARTS, WIDTH = 4, 16
 SAMPLE = 20_000
 #: Members of a bucket from which it is cut into blocks.
 BLOCK = 4096
+#: Texts of a component from which it is cut into blocks.
+TEXTS = 1024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -55,13 +64,16 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """Big-endian fingerprint: a bit is set if over half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles in order; a text of fewer words has one, a text without words none."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(itertools.islice(tokens, i, None) for i in range(shingle)), strict=False)) if len(tokens) >= shingle else iter([b" ".join(tokens)])
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+
+
+def _print(hashes: np.ndarray, words: int) -> bytes:
     counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = np.stack([_mixed(hashes[at : at + CHUNK], k) for k in range(words)], 1).astype(">u8")
@@ -69,6 +81,11 @@ def fingerprint(text: str | None, shingle: int, words: int) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
+def fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """Big-endian fingerprint: a bit is set if over half of the shingles' hashes have it."""
+    return _print(shingle_hashes(text, shingle), words)
+
+
 def fingerprints(df: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint in bytes."""
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -151,7 +168,7 @@ def allocate(histogram: np.ndarray, distance: int) -> list[int]:
 def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) that join the members of each bucket that are within the distance; keys are sorted. No more links than members.
 
-    Members of a bucket are first compared in the word that it was probed by.
+    Members of a bucket are first compared in the word that it was probed by, unless `probe` allows all of its bits to differ.
     """
     n, parent, first = len(keys), np.arange(len(keys)), prints[np.arange(len(keys)), keys >> (40 + WIDTH) >> 2]
     left: list[int] = []
@@ -169,8 +186,10 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> t
         alive = alive[keys[alive] == keys[alive + d]]
         if not len(alive):
             break
-        i = alive[np.bitwise_count(first[alive] ^ first[alive + d]) <= probe]
+        i = alive if probe >= 64 else alive[np.bitwise_count(first[alive] ^ first[alive + d]) <= probe]
         i = i[parent[i] != parent[i + d]]
+        if probe >= 64 and prints.shape[1] > 2:  # two words first, which lose nothing
+            i = i[np.bitwise_count(prints[i, 0] ^ prints[i + d, 0]) + np.bitwise_count(prints[i, 1] ^ prints[i + d, 1]) <= distance]
         linked = i[np.bitwise_count(prints[i] ^ prints[i + d]).sum(1, dtype=np.int64) <= distance] if prints.shape[1] > 1 else i
         for a in linked.tolist():
             x, y = find(a), find(a + d)
@@ -184,7 +203,7 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> t
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None, probes: int = 1) -> DataFrame:
+def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None, probes: int = 1, any_part: bool = False) -> DataFrame:
     """From distinct fingerprints (fp): links u, v that leave the components of all links within the distance as they are."""
     probe, parts = distance if probe_distance is None else probe_distance, PARTS * probes
     sample = _words(nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column(0), words)
@@ -209,8 +228,8 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, flips, large = cut.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 prints = _words(batch.column(0), words)
                 values = _values(prints, groups)
                 own = (prints[:, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
@@ -242,7 +261,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
             rest = table.slice(whole).to_batches()[0] if whole < len(keys) else None
             if whole:
                 fp = table.column(1).combine_chunks().slice(0, whole)
-                a, b = forest(keys[:whole], _words(fp, words), distance, probe)
+                a, b = forest(keys[:whole], _words(fp, words), distance, 64 if any_part else probe)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (fp.take(pa.array(a)), fp.take(pa.array(b)))], ["u", "v"])
 
@@ -268,3 +287,92 @@ def deduplicate(df: DataFrame, **settings) -> DataFrame:
     found = near_duplicates(df, **settings)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
     return df.join(gone, df["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
+def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the sets of which every two neighbours share `percent` of their union or more; exact. Two empty sets are equal.
+
+    Walks from set to set; each is held against those not reached yet, all at once.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)[1].astype(np.int64)
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(len(flat) + 1, np.int8)
+    left, out, held = np.arange(len(sets)), [], len(sets)
+    tokens, owner = flat, np.repeat(np.arange(len(sets)), sizes)
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            reached, left = [int(left[0])], left[1:]
+        i = reached.pop()
+        if len(left) * 2 < held:
+            stay = np.isin(owner, left)
+            tokens, owner, held = tokens[stay], owner[stay], len(left)
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        shared = np.bincount(owner[mark[tokens] > 0], minlength=len(sets))[left]
+        mark[own] = 0
+        near = 100 * shared >= percent * (sizes[i] + sizes[left] - shared)
+        found = left[near].tolist()
+        out += [(i, j) for j in found]
+        reached += found
+        left = left[~near]
+    return out
+
+
+def _verified(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """From root, blocks, sid, text of distinct sets: links u, v (of sids) between texts that are similar enough."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 50):
+                rows = []
+                for root, n, sid, text in zip(*(c.to_pylist() for c in whole.slice(at, 50).columns), strict=True):
+                    own, shingles = int.from_bytes(sid[:8], "big") % n, np.unique(shingle_hashes(text, shingle)).tobytes()
+                    rows += [(root, min(own, k) << 32 | max(own, k), sid, shingles) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["root", "pair", "sid", "shingles"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        sids = group.column("sid").to_pylist()
+        found = similar([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
+        return pa.table({"u": pa.array([sids[a] for a, _ in found], pa.binary()), "v": pa.array([sids[b] for _, b in found], pa.binary())})
+
+    return texts.select("root", "blocks", "sid", "text").mapInArrow(dealt, "root binary, pair long, sid binary, shingles binary").groupBy("root", "pair").applyInArrow(joined, "u binary, v binary")
+
+
+def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance: int, probe_distance: int, probes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, that of the smallest id, of each group that similar texts link; `percent` is the least similarity of shingle sets.
+
+    Works on rows: whether a row stays doesn't depend on other rows of the same id, or without one. Ids sort before null, rows of
+    one id by their key.
+    """
+    keyed = df.withColumn("row_key", row_key(df))
+    source = keyed.select("row_key", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sids, fps = [], []
+            for t in b.column(2):  # one text's hashes at a time
+                hashes = shingle_hashes(t.as_py(), shingle)
+                sids.append(hashlib.blake2b(np.unique(hashes).tobytes(), digest_size=16).digest())
+                fps.append(_print(hashes, words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.binary()), pa.array(fps, pa.binary())], ["row_key", "doc_id", "sid", "fp"])
+
+    kinds = [T.StructField("row_key", T.StringType()), source.schema["doc_id"], T.StructField("sid", T.BinaryType()), T.StructField("fp", T.BinaryType())]
+    prints = durable(source.mapInArrow(printed, T.StructType(kinds)))
+    # a fingerprint follows from counts of shingles, so that equal sets can have several
+    sets = durable(prints.groupBy("sid", "fp").agg(F.min("row_key").alias("row_key")))
+    roots = durable(components(links(sets.select("fp").distinct(), distance, words, probe_distance, probes, any_part=True)))
+    placed = durable(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sid", "row_key", F.coalesce("root", "fp").alias("root")).groupBy("root", "sid").agg(F.min("row_key").alias("row_key")))
+    many = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("root", F.ceil(F.col("n") / TEXTS).cast("int").alias("blocks"))
+    # copies of one row have one key; their set goes on once
+    wanted = placed.join(many, "root").join(source.select("row_key", "text"), "row_key").groupBy("root", "blocks", "sid").agg(F.min("text").alias("text"))
+    linked = durable(components(_verified(wanted, shingle, percent)))
+    grouped = durable(prints.select("row_key", "doc_id", "sid").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("row_key", "doc_id", F.coalesce("root", "sid").alias("of")))
+    first = grouped.groupBy("of").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first")).select("of", F.col("first.row_key").alias("kept_key"))
+    gone = grouped.join(first, "of").filter(F.col("row_key") != F.col("kept_key")).select("row_key").distinct()
+    copies = durable(grouped.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("row_key").join(gone, "row_key", "left_anti"))
+    stay = keyed.join(gone.unionByName(copies), "row_key", "left_anti")
+    if not copies.isEmpty():
+        stay = stay.unionByName(keyed.join(copies, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return stay.select(*df.columns)
