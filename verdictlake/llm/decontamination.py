@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import NON_WORD, spaced
+from verdictlake.llm.common import NON_WORD, row_key, spaced
 
 WINDOW, NEEDED = 13, 11
 #: Two masks of six words; together they meet every choice of two substitutions in thirteen words.
@@ -78,6 +78,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows into whose own text no benchmark item leaks, whatever other rows of the same id hold."""
+    keyed = docs.withColumn("row_key", row_key(docs))
+    leaks = contaminated(keyed, benchmark, id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(*docs.columns)
+
+
 #: The same pairs by comparing every word of every document with every word of every item.
 ORACLE = f"""
 with d as (select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '{NON_WORD}', ' ', 'g')), ' ') w from documents),
