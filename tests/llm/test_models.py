@@ -1,7 +1,6 @@
 """Quality, toxicity and language: accuracy on unseen rows, exact parts against brute force, hard cases."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,22 +73,58 @@ def test_filters_keep_columns_and_rows(spark, tables):
     assert len(clean ^ {k for k, r in truth.items() if not r[2]}) < 12
 
 
-def test_nearest_is_exact(spark):
-    rng = np.random.default_rng(3)
-    terms = [f"t{k}" for k in range(40)]
-    examples = [(str(k), float(k % 3 == 0), {t: int(rng.integers(1, 5)) for t in rng.choice(terms, int(rng.integers(1, 6)), replace=False)}, int(rng.integers(0, 400))) for k in range(700)]
-    index = toxicity.Index(terms, examples)
-    dense = np.zeros((len(index.labels), len(terms) + 1))
-    for t in range(len(terms) + 1):
-        for b in range(index.blocks):
-            part = slice(index.begin[t, b], index.begin[t, b + 1])
-            dense[index.rows[part], t] = index.weights[part]
-    for _, _, counts, others in examples[:60]:
-        dims, weights = index.vector(counts, others)
-        cosines = np.round(dense[:, dims] @ weights, 9)
-        want = np.lexsort((np.arange(len(cosines)), -cosines))[: toxicity.K]
-        rows, got = index.nearest(dims, weights)
-        assert np.allclose(got, cosines[want], atol=1e-8)
+def brute_scores(index, texts, examples):
+    """The query's scores by the definition, with a dense matrix: cosines over all terms, the K highest, the vote, the fit."""
+    names = {t: k for k, t in enumerate(sorted({w for _, _, t in examples for w in toxicity.words(t)}))}
+    n, prior = len(examples), sum(y for _, y, _ in examples) / len(examples)
+
+    def counts(text):
+        out = np.zeros(len(names))
+        for w in toxicity.words(text):
+            if w in names:
+                out[names[w]] += 1
+        return out
+
+    raw = np.array([counts(t) for _, _, t in examples])
+    y = np.array([y for _, y, _ in examples])
+    df, bad = (raw > 0).sum(0), (raw > 0).T @ y
+    lean = np.log((bad + toxicity.SHRINK * prior) / (df - bad + toxicity.SHRINK * (1 - prior))) - np.log(prior / (1 - prior))
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (toxicity.BASE + lean**2)
+
+    def unit(c):
+        w = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight
+        return w / max(np.sqrt((w**2).sum()), 1e-12)
+
+    dense = np.array([unit(c) for c in raw])
+    place = {i: k for k, i in enumerate(index.ids)}
+    at = np.array([place.get(i, n) for i, _, _ in examples])
+    out = []
+    for t in texts:
+        cos = np.round(dense @ unit(counts(t)), 10)
+        top = np.lexsort((at, -cos))[: toxicity.K]
+        top = top[cos[top] > 0]
+        w = 1 / (1.05 - np.minimum(cos[top], 1))
+        out.append((float(np.interp((w @ y[top] + prior) / (w.sum() + 1), index.knots, index.levels)) if len(top) else index.empty_score, [examples[k][0] for k in top], cos[top]))
+    return out
+
+
+def test_toxicity_query_against_a_dense_matrix(spark, tables):
+    """Every row's score, neighbours and cosines; no text with a known word goes without neighbours."""
+    docs, labels, truth = tables
+    index = toxicity.learn(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    examples = [(i, float(truth[int(i)][2]), texts[int(i)]) for i in sorted(index.ids)]
+    assert len(examples) > 400 and index.blocks > 8
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    wanted = sorted(got)
+    for k, (score, ids, cos) in zip(wanted, brute_scores(index, [texts[k] for k in wanted], examples), strict=True):
+        assert abs(got[k].score - score) < 1e-7 and len(ids) == toxicity.K
+        near = [e[1:].split(":") for e in got[k].evidence if e.startswith("#")]
+        assert len(near) == 3 and np.allclose([float(e[1]) for e in near], cos[:3], atol=1e-4)
+    # blocks are really left out
+    dims, weights = index.vector(texts[0])
+    rows, cosines = index.nearest([(dims, weights)])[0]
+    assert len(rows) == toxicity.K and (np.diff(cosines) <= 0).all()
 
 
 def test_isotonic_rises_and_fits():
@@ -154,8 +189,5 @@ def test_languages(spark):
     assert empty is None and {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
-def test_terms_of_words():
-    assert toxicity.terms_of("vilely") == ["vilely", "vile*", "vilel*"]
-    count = toxicity.Counts({"vile*": 0, "scum": 1})
-    assert count("Scum! scum vilely vile other") == ({"scum": 2, "vile*": 1}, 2)
-    assert count(None) == ({}, 0) and Counter(toxicity.words("É é")) == Counter({"é": 2})
+def test_words_of_texts():
+    assert toxicity.words("Scum! vile_1  É") == ["scum", "vile_1", "é"] and toxicity.words(None) == []

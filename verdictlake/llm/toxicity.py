@@ -1,29 +1,30 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-case words and word beginnings (marked by a star) that speak for the label: those in enough documents of the
-labelled sample, toxic at twice the usual rate or more, with a chi-square of at least CHI_SQUARE (at most TERMS, the highest).
-Vectors are TF-IDF over them; all words without a term share one dimension of little weight, so that a term counts for more
-in a short text. The examples that have terms form an inverted index in blocks of BLOCK; for each term it keeps every block's
-highest weight. A query bounds each block's best cosine by these, takes blocks from the highest bound down and stops where
-the bound can't reach its K-th best any more, so the neighbours are exact. Votes are weighted by cosine and mapped to
-probabilities by a rising fit on the examples' own leave-one-out votes. Texts without a term get the share of toxic ones
-among such examples.
-
-The labelled sample is bounded at SAMPLE rows, chosen by hash of the id. Terms are counted in Spark; only the chosen ones
-and the sample's vectors over them reach the driver.
-
-Defined cases: a null text is an empty one; equal cosines go to the example that sorts first; null labels are left out; with
+Every lower-case word of the labelled sample is a term. A term's weight in a text is (1 + log count) * idf * (BASE + lean**2),
+where lean is the shrunken log odds of the label given the term: words that say nothing about it count little, but all count.
+The examples form an inverted index in blocks of BLOCK like examples; for each term it keeps, block by block, the highest
+weight and where the block's postings begin. A query bounds each block's best cosine by these maxima, scores the blocks of
+the highest bounds, and after that only blocks whose bound reaches the K-th best cosine found: the neighbours are exact.
+Votes are weighted by distance and mapped to probabilities by a rising fit on the examples' own leave-one-out votes. The
+evidence is the query's terms that weigh most, and the nearest examples.
+
+The labelled sample is bounded at SAMPLE rows, chosen by hash of the id; each row's whole text is learned.
+
+Defined cases: a null text is an empty one; a text none of whose words is a term has no neighbour and gets the share of
+toxic ones among such examples; equal cosines go to the example that lies first in the index; null labels are left out; with
 no labels every score is 0; repeated rows each get their score; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,11 @@ from pyspark.sql import types as T
 from verdictlake.llm.common import durable
 from verdictlake.llm.quality import labelled_sample
 
-SAMPLE, TERMS, CHI_SQUARE, K, BLOCK = 10_000, 2048, 30.0, 15, 64
-#: A term occurs in this many documents at least, or this share of the sample if that is more.
-LEAST_DOCS, LEAST_SHARE = 5, 0.002
-BEGINNINGS = (4, 5, 6, 7)
-#: Weight of a word without a term.
-REST = 0.01
-#: Words whose terms a task remembers.
-REMEMBERED = 300_000
+SAMPLE, K, BLOCK = 3000, 15, 32
+#: Weight of a term that leans nowhere, and documents' worth of average labels that every term's odds start from.
+BASE, SHRINK = 0.15, 4.0
+#: Blocks that are scored first, and the share of examples (one in COMMON) from which a term is common.
+FIRST, COMMON = 8, 16
 
 _WORD = re.compile(r"\w+")
 
@@ -47,85 +45,141 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's candidates for terms."""
-    return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
-    """Labelled examples by term. An example is (id, label, {term: count}, number of words without a term)."""
-
-    def __init__(self, terms: list[str], examples: list[tuple[str, float, dict[str, int], int]]):
-        self.terms = {t: k for k, t in enumerate(sorted(terms))}
-        labels = np.array([e[1] for e in examples])
-        self.prior = float(labels.mean()) if len(labels) else 0.0
-        df = np.zeros(len(self.terms))
-        for e in examples:
-            for t in e[2]:
-                df[self.terms[t]] += 1
-        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
-        vectors = [self.vector(e[2], e[3]) for e in examples]
-        some = [i for i, e in enumerate(examples) if e[2]]
-        without = np.array([e[1] for e in examples if not e[2]])
+    """Labelled examples by term, from arrays of ids, labels, and each example's terms and their counts."""
+
+    def __init__(self, ids: list[str], labels: np.ndarray, terms: list[list[str]], counts: list[list[int]]):
+        n, sizes = len(ids), np.array([len(t) for t in terms], np.int64)
+        flat = pa.array([t for own in terms for t in own], pa.string())
+        names = pc.unique(flat).sort()
+        self.names = names.to_pylist()
+        self.terms = {t: k for k, t in enumerate(self.names)}
+        term = pc.index_in(flat, names).to_numpy(zero_copy_only=False).astype(np.int64)
+        count = np.array([c for own in counts for c in own], float)
+        row = np.repeat(np.arange(n), sizes)
+        df, toxic = np.bincount(term, minlength=len(names)), np.bincount(term, labels[row], len(names))
+        self.prior = float(labels.mean()) if n else 0.0
+        share = min(max(self.prior, 1e-3), 1 - 1e-3)
+        lean = np.log((toxic + SHRINK * share) / (df - toxic + SHRINK * (1 - share))) - np.log(share / (1 - share))
+        self.weight = (np.log((1 + n) / (1 + df)) + 1) * (BASE + lean**2)
+
+        w = (1 + np.log(count)) * self.weight[term]
+        norm = np.sqrt(np.bincount(row, w**2, n))
+        w = w / norm[row]
+        # like examples lie side by side, so that bounds are tight: by the term that weighs most, then the commonest word
+        top, common = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        order = np.lexsort((w, row))
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        top[sizes > 0] = np.where(np.abs(lean[term[order[last]]]) > 2, term[order[last]], -1)
+        common[sizes > 0] = term[np.lexsort((df[term], count, row))[last]]
+        some = np.flatnonzero(sizes > 0)
+        some = some[np.lexsort((some, sizes[some], common[some], top[some]))]
+        place = np.full(n, -1)
+        place[some] = np.arange(len(some))
+        self.ids, self.labels, self.blocks = [ids[i] for i in some], labels[some], -(-len(some) // BLOCK)
+        without = labels[sizes == 0]
         self.empty_score = float((without.sum() + self.prior) / (len(without) + 1))
-        # like examples lie side by side, so that bounds are tight
-        some.sort(key=lambda i: (vectors[i][0].tolist(), vectors[i][1].tolist(), examples[i][0]))
-        self.labels, self.ids = labels[some] if some else np.zeros(0), [examples[i][0] for i in some]
-        self.blocks, dims = -(-len(some) // BLOCK), len(self.terms) + 1
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(dims)]
-        for row, i in enumerate(some):
-            for t, w in zip(*vectors[i], strict=True):
-                lists[t].append((row, w))
-        starts = np.cumsum([0, *map(len, lists)])
-        self.rows = np.array([r for x in lists for r, _ in x], np.int64)
-        self.weights = np.array([w for x in lists for _, w in x])
-        #: where the postings of a term in a block begin
-        self.begin = np.stack([starts[t] + np.searchsorted(self.rows[starts[t] : starts[t + 1]], np.arange(self.blocks + 1) * BLOCK) for t in range(dims)]) if dims else np.zeros((0, 1), np.int64)
-        self.block_max = np.zeros((dims, self.blocks))
-        for t in range(dims):
-            part = slice(starts[t], starts[t + 1])
-            np.maximum.at(self.block_max[t], self.rows[part] // BLOCK, self.weights[part])
-        own = np.array([self.vote(*self.nearest(*vectors[i], skip=row)) for row, i in enumerate(some)])
-        self.knots, self.levels = isotonic(own, self.labels)
-
-    def vector(self, counts: dict[str, int], others: int) -> tuple[np.ndarray, np.ndarray]:
-        """Dimensions and weights; the last dimension stands for all words without a term."""
-        dims = np.array([*(self.terms[t] for t in counts), len(self.terms)])
-        weights = np.array([*counts.values(), others * REST]) * np.r_[self.idf[dims[:-1]], 1.0]
-        order = np.argsort(dims)
-        return dims[order], (weights / max(np.sqrt((weights**2).sum()), 1e-12))[order]
-
-    def nearest(self, dims: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples and their cosines, exact; equal cosines by place."""
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.block_max[dims]
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if len(rows) >= K and bound[b] < cosines[-1] - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for t, w in zip(dims.tolist(), weights.tolist(), strict=True):
-                x, y = self.begin[t, b], self.begin[t, b + 1]
-                if x < y:
-                    got[self.rows[x:y] - b * BLOCK] += w * self.weights[x:y]
-            hit = np.flatnonzero(got > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            rows, cosines = np.r_[rows, hit + b * BLOCK], np.r_[cosines, np.round(got[hit], 12)]
-            top = np.lexsort((rows, -cosines))[:K]
-            rows, cosines = rows[top], cosines[top]
-        return rows, cosines
+
+        # the lists of common terms are nearly full: they are kept as rows over all examples
+        self.common_at = np.full(len(names) + 1, -1, np.int64)
+        often = np.flatnonzero(df * COMMON > n)
+        self.common_at[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK))
+        full = self.common_at[term] >= 0
+        self.dense[self.common_at[term[full]], place[row[full]]] = w[full]
+
+        order = np.flatnonzero(~full)
+        order = order[np.lexsort((place[row[order]], term[order]))]
+        self.rows, self.weights = place[row[order]].astype(np.int32), w[order]
+        # an entry for each other term and block: the block, its highest weight, where its postings begin
+        key = term[order] * max(1, self.blocks) + self.rows // BLOCK
+        self.entry = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+        self.entry_block = (key[self.entry[:-1]] % max(1, self.blocks)).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.weights, self.entry[:-1]) if len(key) else np.zeros(0)
+        self.term_entry = np.searchsorted(key[self.entry[:-1]] // max(1, self.blocks), np.arange(len(names) + 1))
+        self.knots, self.levels = np.zeros(1), np.full(1, self.prior)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms and their weights, of length 1."""
+        found = Counter(words(text))
+        dims = np.fromiter(map(self.terms.get, found, itertools.repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), float, len(found))[dims >= 0]
+        dims = dims[dims >= 0]
+        w = (1 + np.log(counts)) * self.weight[dims]
+        return dims, w / np.sqrt(max(w @ w, 1e-300))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[str | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the K nearest examples and their cosines, exact; equal cosines by place. Examples of the id in `skip` don't count."""
+        often = np.zeros((len(vectors), len(self.dense)))
+        for q, (dims, weights) in enumerate(vectors):
+            at = self.common_at[dims]
+            often[q, at[at >= 0]] = weights[at >= 0]
+        return [self._nearest(d, w, c, None if skip is None else skip[q]) for q, ((d, w), c) in enumerate(zip(vectors, often @ self.dense, strict=True))]
+
+    def _nearest(self, dims: np.ndarray, weights: np.ndarray, cosines: np.ndarray, skip: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """`cosines` holds what the common terms add to each example's."""
+        sizes = self.term_entry[dims + 1] - self.term_entry[dims]
+        entries, w = _ragged(self.term_entry[dims], sizes), np.repeat(weights, sizes)
+        block = self.entry_block[entries]
+        bound = cosines.reshape(-1, BLOCK).max(1) + np.bincount(block, w * self.entry_max[entries], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        best, place = np.zeros(0), np.zeros(0, np.int64)
+        at, step, least = 0, FIRST, 0.0
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
+            now = order[at : at + step]
+            now = now[bound[now] >= least - 1e-9]
+            at, step = at + len(now), step * 2
+            wanted = np.zeros(self.blocks, bool)
+            wanted[now] = True
+            use = wanted[block]
+            e = entries[use]
+            n = self.entry[e + 1] - self.entry[e]
+            p = _ragged(self.entry[e], n)
+            np.add.at(cosines, self.rows[p], np.repeat(w[use], n) * self.weights[p])
+            rows = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[cosines[rows] > 0]
+            best, place = np.concatenate([best, np.round(cosines[rows], 10)]), np.concatenate([place, rows])
+            if skip is not None:
+                stay = [r >= len(self.ids) or self.ids[r] != skip for r in place.tolist()]
+                best, place = best[stay], place[stay]
+            if len(best) >= K:
+                top = np.lexsort((place, -best))[:K]
+                best, place, least = best[top], place[top], best[top[-1]]
+        top = np.lexsort((place, -best))
+        return place[top], best[top]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """The toxic neighbours' share of weight, which grows as the distance shrinks; one weak vote of the average is added."""
         weight = 1 / (1.05 - np.minimum(cosines, 1.0))
         return float((weight @ self.labels[rows] + self.prior) / (weight.sum() + 1))
 
-    def score(self, counts: dict[str, int], others: int) -> tuple[float, list[str]]:
-        """The probability, and what it rests on: terms, then the three nearest examples as id:cosine:label."""
-        if not counts or not len(self.labels):
-            return self.empty_score, []
-        rows, cosines = self.nearest(*self.vector(counts, others))
-        level = float(np.interp(self.vote(rows, cosines), self.knots, self.levels))
-        return level, [*sorted(counts, key=lambda t: (-counts[t], t))[:5], *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]
+    def own_votes(self, texts: list[str | None], ids: list[str]) -> list[float | None]:
+        """The vote on each example by the others; None without a neighbour."""
+        return [self.vote(*near) if len(near[0]) else None for near in self.nearest([self.vector(t) for t in texts], ids)]
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        if len(votes):
+            self.knots, self.levels = isotonic(votes, labels)
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[str]]]:
+        """For each text the probability, and what it rests on: the five terms that weigh most, then the three nearest examples as #id:cosine:label."""
+        if not len(self.labels):
+            return [(self.empty_score, [])] * len(texts)
+        vectors, out = [self.vector(t) for t in texts], []
+        for (dims, weights), (rows, cosines) in zip(vectors, self.nearest(vectors), strict=True):
+            if not len(rows):
+                out.append((self.empty_score, []))
+                continue
+            most = dims[np.argsort(-weights, kind="stable")[:5]]
+            level = float(np.interp(self.vote(rows, cosines), self.knots, self.levels))
+            out.append((level, [*(self.names[t] for t in most.tolist()), *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,63 +194,43 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate([(p[1] + 0.5) / (p[2] + 1) for p in pools]) if pools else np.zeros(0)
 
 
-class Counts:
-    """Counts the terms of texts, remembering the words it has seen."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms, self.seen = terms, {}
-
-    def __call__(self, text: str | None) -> tuple[dict[str, int], int]:
-        found: Counter = Counter()
-        others, seen = 0, self.seen
-        for w, n in Counter(words(text)).items():
-            own = seen.get(w)
-            if own is None:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                own = seen[w] = tuple(t for t in terms_of(w) if t in self.terms)
-            if own:
-                for t in own:
-                    found[t] += n
-            else:
-                others += n
-        return dict(found), others
-
-
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic") -> Index:
-    sample = durable(labelled_sample(docs, labels, label_col, usable, SAMPLE))
-    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    """An index of the bounded sample of labelled rows that are usable. Texts become counts, and votes are cast, in the tasks."""
+    sample = durable(labelled_sample(docs, labels, label_col, usable, SAMPLE).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", "label"))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, label in zip(b.column(1), b.column(2), strict=True):
-                own = list({t for w in set(words(text.as_py())) for t in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label.as_py()] * len(own), pa.float64())], ["term", "label"])
+            found = [sorted(Counter(words(t.as_py())).items()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], ["id", "label", "terms", "n"])
 
-    counts = sample.mapInArrow(candidates, "term string, label double").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("label").alias("a"))
-    chi = F.lit(float(n)) * (F.col("a") * n - F.col("c") * ones) ** 2 / (F.col("c") * (n - F.col("c")) * ones * (n - ones))
-    telling = counts.filter((F.col("c") >= max(LEAST_DOCS, LEAST_SHARE * n)) & (F.col("c") < n) & (F.col("a") * n >= 2 * F.col("c") * ones))
-    terms = [r[0] for r in telling.withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()] if 0 < ones < n else []
+    rows = sorted(map(tuple, sample.mapInArrow(counted, "id string, label double, terms array<string>, n array<long>").collect()))
+    index = Index([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
+    held = docs.sparkSession.sparkContext.broadcast(index)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counts({t: k for k, t in enumerate(terms)})
-        for b in batches:
-            found = [count(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c, _ in found], pa.list_(pa.string())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int64())), pa.array([o for _, o in found], pa.int64())], ["id", "label", "terms", "n", "others"])
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            votes = held.value.own_votes(b.column(1).to_pylist(), b.column(0).to_pylist()) if len(held.value.labels) else [None] * b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(2)], ["vote", "label"])
+
+    votes = sorted(map(tuple, sample.mapInArrow(voted, "vote double, label double").filter(F.col("vote").isNotNull()).collect()))
+    index.calibrate(np.array([v for v, _ in votes]), np.array([y for _, y in votes]))
+    return index
 
-    rows = sample.select(F.col("doc_id").cast("string").alias("id"), "text", "label").mapInArrow(counted, "id string, label double, terms array<string>, n array<long>, others long").collect()
-    return Index(terms, sorted(((r[0], r[1], dict(sorted(zip(r[2], r[3], strict=True))), r[4]) for r in rows), key=str))
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, evidence (terms and nearest examples as id:cosine:label)."""
+    """doc_id, score, evidence (terms and nearest examples as #id:cosine:label)."""
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counts(held.value.terms)
-        for b in batches:
-            found = [held.value.score(*count(t.as_py())) for t in b.column(1)]
+        for b in _slices(batches):
+            found = held.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
     return source.mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StringType()))]))
@@ -208,8 +242,7 @@ def accepted(df: DataFrame, index: Index, most: float = 0.3) -> DataFrame:
     column = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counts(held.value.terms)
-        for b in batches:
-            yield b.filter(pa.array([held.value.score(*count(t.as_py()))[0] < most for t in b.column(column)], pa.bool_()))
+        for b in _slices(batches):
+            yield b.filter(pa.array([s < most for s, _ in held.value.score(b.column(column).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
