@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,14 +12,26 @@ from pyspark.sql import types as T
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Row keys (some 50 bytes each) that are broadcast at most, once they have been counted.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; only local sessions without it get a folder of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the folder that all executors share, so that a lost executor costs nothing.
 
-    The folder is spark.checkpoint.dir; only a session without that setting gets a folder of its own.
+    Spark removes a checkpoint with its DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -50,3 +62,9 @@ def row_key(df: DataFrame) -> Column:
     columns = [df[f.name] for f in df.schema.fields if not _holds_map(f.dataType)]
     parts = [x for c in columns for x in (F.isnull(c), c)]  # a hash passes over nulls
     return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), *parts)), 16, "0") for k in (1, 2)))
+
+
+def without_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose row_key isn't among `gone`. Few keys are broadcast and the rows stay in place; many are joined by shuffle."""
+    gone = durable(gone.distinct())
+    return keyed.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_KEYS else gone, "row_key", "left_anti")

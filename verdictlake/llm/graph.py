@@ -1,17 +1,34 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps, and joins of rows with what their groups add up to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictlake.llm.common import durable
 
+#: Rows of a key from which it is dealt to several tasks, and the share of all rows from which it is: at most PARTS keys are.
+MANY, PARTS = 100, 1000
 
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """u, v and the smallest of u and its v. Minima are joined back, so that no task gathers a node's neighbours."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return pairs.join(low, "u")
+
+def with_groups(rows: DataFrame, key: str, total: int, spread: Column, **aggregates: Column) -> DataFrame:
+    """The rows with aggregates of the rows of their key. Keys of many rows are dealt by `spread` to several tasks on the way back.
+
+    Aggregates are partial before their shuffle. Which keys have more than total / PARTS rows (PARTS at most) is broadcast, so
+    that no task gathers the rows of a hot key, whatever its share.
+    """
+    many = max(MANY, total // PARTS)
+    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *(c.alias(name) for name, c in aggregates.items()))
+    groups = groups.withColumn("_parts", F.ceil(F.col("_n") / many).cast("int")).drop("_n")
+    hot = groups.filter(F.col("_parts") > 1).select(key, F.col("_parts").alias("_of"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
+    copies = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
+def _smallest(pairs: DataFrame, total: int) -> DataFrame:
+    """u, v and the smallest of u and its v."""
+    return with_groups(pairs, "u", total, F.col("v"), low=F.min("v")).withColumn("low", F.least("u", "low"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break
-        mark = tuple(found)
+        mark, total = tuple(found), 2 * found[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        small = _smallest(large)
+        large = _smallest(both, total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        small = _smallest(large, total)
         small = small.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v")))
         now = durable(small.filter(F.col("u") != F.col("v")).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -20,7 +20,7 @@ where one partition is within its threshold.
 
 one_of_each() uses the links as candidates only. Their components, in which every pair of similar texts lies, are gone
 through with the texts' exact sets of shingles, and only texts whose sets are similar enough are linked. Texts with equal
-sets count once; components of many texts are cut into blocks, every pair of which meets in a task.
+sets count once; components of many texts are cut into blocks, every pair of which meets unless links found before join all.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a null id keeps its row, and a component
 all of whose ids are null has a null component_id; repeated rows each get their result; empty tables give no rows; extra
@@ -40,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import durable, row_key
-from verdictlake.llm.graph import components
+from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, row_key, without_keys
+from verdictlake.llm.graph import components, with_groups
 
 #: Partitions of a word, and their bits.
 PARTS, WIDTH = 4, 16
 SAMPLE = 20_000
 #: Members of a bucket from which it is cut into blocks.
 BLOCK = 4096
-#: Texts of a component from which it is cut into blocks.
-TEXTS = 1024
+#: Texts of a component, and shingles of them all, from which it is cut into blocks.
+TEXTS, SHINGLES = 1024, 4_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -275,8 +275,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: i
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = durable(components(links(nodes, distance, words, probe_distance, probes)))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    linked = linked.join(lowest, "root").select("fp", "lowest")
+    linked = with_groups(linked, "root", roots.count(), F.col("fp"), lowest=F.min("first_id")).select("fp", "lowest")
     # kept, so that both sides of the last join are plain shuffles, which Spark splits where many copies share a fingerprint
     by_print = durable(nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id")))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -320,16 +319,19 @@ def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """From root, blocks, sid, text of distinct sets: links u, v (of sids) between texts that are similar enough."""
+def _compared(texts: DataFrame, shingle: int, percent: int, crosswise: bool) -> DataFrame:
+    """From root, blocks, sid, text of distinct sets: links u, v (of sids) between texts of a root that are similar enough.
+
+    A root's texts are dealt to blocks by their sid; crosswise every two blocks of a root meet, else each is gone through alone.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 50):
+            for at in range(0, whole.num_rows, 20):
                 rows = []
-                for root, n, sid, text in zip(*(c.to_pylist() for c in whole.slice(at, 50).columns), strict=True):
+                for root, n, sid, text in zip(*(c.to_pylist() for c in whole.slice(at, 20).columns), strict=True):
                     own, shingles = int.from_bytes(sid[:8], "big") % n, np.unique(shingle_hashes(text, shingle)).tobytes()
-                    rows += [(root, min(own, k) << 32 | max(own, k), sid, shingles) for k in range(n)]
+                    rows += [(root, min(own, k) << 32 | max(own, k), sid, shingles) for k in (range(n) if crosswise else (own,))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["root", "pair", "sid", "shingles"])
 
     def joined(group: pa.Table) -> pa.Table:
@@ -340,6 +342,44 @@ def _verified(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return texts.select("root", "blocks", "sid", "text").mapInArrow(dealt, "root binary, pair long, sid binary, shingles binary").groupBy("root", "pair").applyInArrow(joined, "u binary, v binary")
 
 
+def _several(sets: DataFrame) -> DataFrame:
+    """Of sets (root, sid, row_key, size) those whose root has several, with the number of blocks that TEXTS and SHINGLES call for."""
+    several = with_groups(sets, "root", sets.count(), F.col("sid"), n=F.count(F.lit(1)), shingles=F.sum("size")).filter(F.col("n") > 1)
+    return several.withColumn("blocks", F.ceil(F.greatest(F.col("n") / TEXTS, F.col("shingles") / SHINGLES)).cast("int")).drop("n", "shingles")
+
+
+def _classes(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """The sets with their class: the smallest sid that links reach."""
+    return sets.join(components(linked).withColumnRenamed("node", "sid").withColumnRenamed("root", "to"), "sid", "left").withColumn("class", F.coalesce("to", "sid")).drop("to")
+
+
+def verified(sets: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links u, v whose components are those of all similar pairs of a root. Sets are rows of root, sid, row_key, size.
+
+    Roots of one block are gone through at once. In larger ones each block is gone through alone, then the first of each class
+    found, and crosswise only those roots that still have several classes: copies of one text, however many, are read twice.
+    """
+
+    def texts(of: DataFrame) -> DataFrame:
+        # texts stay where they are unless they are wanted; copies of one row have one key, and their set goes on once
+        wanted = durable(of.select("row_key", "root", "blocks", "sid"))
+        small = F.broadcast if wanted.count() <= MAX_BROADCAST_KEYS else (lambda x: x)
+        return source.select("row_key", "text").join(small(wanted), "row_key").dropDuplicates(["root", "sid"])
+
+    several = durable(_several(sets))
+    linked = durable(_compared(texts(several), shingle, percent, False))
+    large = several.filter(F.col("blocks") > 1)
+    if large.isEmpty():
+        return linked
+    large = durable(_classes(large.drop("blocks"), linked))
+    first = durable(_several(large.filter(F.col("sid") == F.col("class")).drop("class")))
+    linked = durable(linked.unionByName(_compared(texts(first), shingle, percent, True)))
+    large = durable(_classes(large.drop("class"), linked))
+    left = large.groupBy("root").agg(F.count_distinct("class").alias("n")).filter(F.col("n") > 1).select("root")
+    left = durable(_several(large.drop("class").join(left, "root", "left_semi")))
+    return linked.unionByName(_compared(texts(left), shingle, percent, True))
+
+
 def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance: int, probe_distance: int, probes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, that of the smallest id, of each group that similar texts link; `percent` is the least similarity of shingle sets.
 
@@ -351,28 +391,28 @@ def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance:
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids, fps = [], []
+            sids, fps, sizes = [], [], []
             for t in b.column(2):  # one text's hashes at a time
                 hashes = shingle_hashes(t.as_py(), shingle)
-                sids.append(hashlib.blake2b(np.unique(hashes).tobytes(), digest_size=16).digest())
+                own = np.unique(hashes)
+                sids.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 fps.append(_print(hashes, words))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.binary()), pa.array(fps, pa.binary())], ["row_key", "doc_id", "sid", "fp"])
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["row_key", "doc_id", "sid", "fp", "size"])
 
-    kinds = [T.StructField("row_key", T.StringType()), source.schema["doc_id"], T.StructField("sid", T.BinaryType()), T.StructField("fp", T.BinaryType())]
+    kinds = [T.StructField("row_key", T.StringType()), source.schema["doc_id"], T.StructField("sid", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
     prints = durable(source.mapInArrow(printed, T.StructType(kinds)))
     # a fingerprint follows from counts of shingles, so that equal sets can have several
-    sets = durable(prints.groupBy("sid", "fp").agg(F.min("row_key").alias("row_key")))
+    sets = durable(prints.groupBy("sid", "fp").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
     roots = durable(components(links(sets.select("fp").distinct(), distance, words, probe_distance, probes, any_part=True)))
-    placed = durable(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sid", "row_key", F.coalesce("root", "fp").alias("root")).groupBy("root", "sid").agg(F.min("row_key").alias("row_key")))
-    many = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("root", F.ceil(F.col("n") / TEXTS).cast("int").alias("blocks"))
-    # copies of one row have one key; their set goes on once
-    wanted = placed.join(many, "root").join(source.select("row_key", "text"), "row_key").groupBy("root", "blocks", "sid").agg(F.min("text").alias("text"))
-    linked = durable(components(_verified(wanted, shingle, percent)))
+    placed = durable(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"), "sid").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
+    linked = durable(components(verified(placed, source, shingle, percent)))
     grouped = durable(prints.select("row_key", "doc_id", "sid").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("row_key", "doc_id", F.coalesce("root", "sid").alias("of")))
-    first = grouped.groupBy("of").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first")).select("of", F.col("first.row_key").alias("kept_key"))
-    gone = grouped.join(first, "of").filter(F.col("row_key") != F.col("kept_key")).select("row_key").distinct()
+    first = with_groups(grouped, "of", grouped.count(), F.col("row_key"), first=F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")))
+    gone = durable(first.filter(F.col("row_key") != F.col("first.row_key")).select("row_key").distinct())
     copies = durable(grouped.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("row_key").join(gone, "row_key", "left_anti"))
-    stay = keyed.join(gone.unionByName(copies), "row_key", "left_anti")
+    stay = without_keys(keyed, gone.unionByName(copies))
     if not copies.isEmpty():
-        stay = stay.unionByName(keyed.join(copies, "row_key", "left_semi").dropDuplicates(["row_key"]))
+        few = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_KEYS else copies
+        stay = stay.unionByName(keyed.join(few, "row_key", "left_semi").dropDuplicates(["row_key"]))
     return stay.select(*df.columns)
