@@ -7,16 +7,16 @@ for the last, which returns doc_id, ids, n_tokens and exact. Each is written and
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import decontamination, quality, queries, sentencepiece_codec, simhash, toxicity
+from verdictlake.llm import common, decontamination, quality, queries, sentencepiece_codec, simhash, toxicity
 
-#: Near-duplicates: texts that share 80 % of their sets of five-word shingles. Candidates come from 256-bit fingerprints, in
-#: which such texts differ by 39 bits on average (their standard deviation is 6): all up to 57, from probes in all four words.
-NEAR = {"shingle": 5, "percent": 80, "words": 4, "distance": 57, "probe_distance": 11, "probes": 4}
+#: Near-duplicates: texts that share 80 % of their sets of five-word shingles. Candidates come from 192-bit fingerprints, in
+#: which such texts differ by 29 bits on average (their standard deviation is 5): all up to 35, from probes in all three words,
+#: and those up to 51 that agree but for two bits in one of twelve partitions (all but 6 in 100,000 of those at 0.8).
+NEAR = {"shingle": 5, "percent": 80, "words": 3, "distance": 51, "probe_distance": 11, "probes": 3}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; the steps in between are Parquet in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    """All stages over the whole documents table; the steps in between are Parquet in the folder that all executors share.
+
+    They stay there, as the returned rows are read from the last of them: remove the folder once the result is written.
+    """
+    folder = os.path.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
     for name, stage in before:
-        path = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}", name)
+        path = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return last(spark, docs, sf_dir)
