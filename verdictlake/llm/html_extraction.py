@@ -41,7 +41,7 @@ from verdictlake.llm.graph import PARTS, with_groups
 RUN, PAGES = 8, 2
 TELLING, TELLING_INSIDE = 0.5, 0.9
 #: Pages of a host, and bytes of their streams, from which they are dealt to several parts.
-PART, PART_BYTES = 2048, 8 << 20
+PART, PART_BYTES = 256, 8 << 20
 #: Boilerplate runs (16 bytes each) that are broadcast at most, once they have been counted.
 MAX_BROADCAST_RUNS = 2_000_000
 #: Words from which a block tells pages apart.
