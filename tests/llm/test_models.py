@@ -163,27 +163,54 @@ def phrases(text, known):
     return n
 
 
+code = lambda s: np.array([ord(c) for c in s], np.uint32)
+
+
 def test_cross_parsing_against_substring_search():
     rng = random.Random(2)
-    known = {k: "".join(rng.choice(a) for _ in range(300)) for k, a in (("aa", "abc "), ("bb", "bcd "))}
-    code = lambda s: np.array([ord(c) for c in s], np.uint32)
+    known = {k: "".join(rng.choice(a) for _ in range(300)) for k, a in (("aa", "abc "), ("bb", "bcd "), ("cc", "c🎉𝔸 "))}
     parser = langid.Parser({k: code(v) for k, v in known.items()})
-    docs = ["".join(rng.choice("abcdz ") for _ in range(rng.randint(0, 1300))) for _ in range(30)] + ["", "z", "zz", "a"]
+    docs = ["".join(rng.choice("abcdz 𝔸") for _ in range(rng.randint(0, 1300))) for _ in range(30)] + ["", "z", "zz", "a", "".join(rng.choice("abcd ") for _ in range(5000)), known["aa"] * 3]
     got = parser.phrases([code(d) for d in docs])
     for d, row in zip(docs, got, strict=True):
-        for k, n in zip(parser.langs, row, strict=True):
-            assert n == sum(phrases(d[i : i + langid.PIECE], known[k]) for i in range(0, len(d), langid.PIECE)), d[:40]
+        assert row.tolist() == [phrases(d, known[k]) for k in parser.langs], d[:40]
+    assert parser.phrases([]).shape == (0, 3) and parser.phrases([code("")]).tolist() == [[0, 0, 0]]
+
+
+def test_large_alphabets_take_little_room():
+    rng = random.Random(4)
+    text = "".join(chr(0x4E00 + rng.randint(0, 19_999)) for _ in range(24_000))
+    parser = langid.Parser({"zz": code(text), "yy": code("ab" * 50)})
+    assert parser.nbytes < 10_000_000  # the states by COMMON, and the edges
+    doc = text[500:900] + "ab" + text[5:9]
+    assert parser.phrases([code(doc)]).tolist() == [[phrases(doc, "ab" * 50), phrases(doc, text)]]
+
+
+def test_the_whole_language_query_against_substring_search(spark):
+    """Sample, parse and choice, row by row."""
+    docs, _ = corpus(120, 5)
+    rows = [(k, t, "xx" if k % 2 else "yy") for k, t in docs]
+    df = spark.createDataFrame(rows, DOC + ", lang string")
+    parser = langid.learn(df, fold(F.col("doc_id"), 4) != 2)
+    got = {r.doc_id: r for r in langid.predict(df, parser).collect()}
+    lower = lambda t: "".join(map(chr, langid.symbols(t)))
+    lengths = 2 ** parser.bits
+    for k, text, _ in rows[:40]:
+        s = lower(text)
+        counts = parser.phrases([code(s)])[0]
+        bits = [n * np.log2(m) / len(s) for n, m in zip(counts, lengths, strict=True)]
+        assert got[k].lang_pred == parser.langs[int(np.argmin(bits))] and 0 < got[k].score <= 1
 
 
 def test_languages(spark):
     rng = random.Random(6)
     sounds = {"xx": ["ka", "lo", "mi", "ré"], "yy": ["tz", "ung", "ein", "ö"], "zz": ["ción", "ado", "que"]}
     rows = [(k, " ".join("".join(rng.choices(sounds[lang], k=3)) for _ in range(30)), lang) for k in range(150) for lang in [rng.choice(sorted(sounds))]]
-    docs = spark.createDataFrame([*rows, (900, "abc", None), (901, None, "xx"), (902, "12 34 !!", "xx")], DOC + ", lang string")
+    docs = spark.createDataFrame([*rows, (900, "abc", None), (901, None, "xx"), (902, "12 34 !!", "xx"), (903, "🎉🎉 😀", "xx"), (None, "ka lo", "xx")], DOC + ", lang string")
     parser = langid.learn(docs, fold(F.col("doc_id"), 4) != 2)
     got = {r.doc_id: r for r in langid.predict(docs, parser).collect()}
     held = [r for r in rows if got[r[0]].lang_pred == r[2]]
-    assert len(held) == len(rows) and got[901].lang_pred == got[902].lang_pred == "und" and got[901].score == 0
+    assert len(held) == len(rows) and got[901].lang_pred == got[902].lang_pred == got[903].lang_pred == "und" and got[901].score == 0
     assert set(parser.langs) == set(sounds)
     empty = langid.learn(docs.filter("lang is null"), F.lit(True))
     assert empty is None and {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
