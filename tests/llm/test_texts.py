@@ -172,7 +172,8 @@ def test_media_round_trip(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
         table = M.load_tensors(bytes(r.features))
-        assert table.schema.field("log_mel").type.shape == [M.PATCH_FRAMES, M.MELS] and len(table) == -(-r.n_frames // M.PATCH_FRAMES)
+        assert table.schema.field("log_mel").type.shape == [M.PATCH_FRAMES, M.MELS] and len(table) == r.n_tensors == -(-r.n_frames // M.PATCH_FRAMES)
+        assert r.tensors_sha256 == hashlib.sha256(bytes(r.features)).hexdigest() and table.column("end_s").to_pylist()[-1] == pytest.approx(r.n_frames * M.HOP * M.DOWN / M.RATE)
         assert all(a.end_s <= b.start_s for a, b in zip(r.segments, r.segments[1:]))
     assert got[None].feature == got[2].feature and got[0].feature == got[1].feature
     assert M.media_columns(df.limit(0), keep=False).count() == 0
@@ -191,6 +192,49 @@ def test_resampling_is_polyphase():
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_log_mel_against_the_formulas():
+    """Windowed frames, discrete Fourier sums and triangular bands, term by term."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=700)
+    got = M.log_mel(x.astype(np.float32))
+    n = max(1, -(-(len(x) - M.FRAME) // M.HOP) + 1)
+    padded = np.r_[x, np.zeros(n * M.HOP + M.FRAME)]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    top = M.RATE * M.UP / M.DOWN / 2
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(20.0), mel(top), M.MELS + 2)]
+    t = np.arange(M.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * t / (M.FRAME - 1))
+    assert got.shape == (n, M.MELS)
+    for k in range(n):
+        frame = padded[k * M.HOP : k * M.HOP + M.FRAME] * window
+        power = [abs((frame * np.exp(-2j * np.pi * f * t / M.FRAME)).sum()) ** 2 for f in range(M.FRAME // 2 + 1)]
+        for band in range(M.MELS):
+            low, mid, high = edges[band : band + 3]
+            total = 0.0
+            for f, p in enumerate(power):
+                hz = f * 2 * top / M.FRAME
+                total += p * max(0.0, min((hz - low) / (mid - low), (high - hz) / (high - mid)))
+            assert got[k, band] == pytest.approx(np.log10(max(total, 1e-10)), abs=2e-3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_media_query_row_by_row(spark):
+    """The whole query on the smallest table, each value worked out anew from the text."""
+    from verdictlake.llm import queries as Q
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = Q.op10_media(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        file = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0]) + M.RATE.to_bytes(4, "little") * 2 + bytes([1, 0, 8, 0]) + b"data" + len(payload).to_bytes(4, "little") + payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(file).hexdigest())
+        mel = M.log_mel(M.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+        assert np.allclose([float(v) for v in r.feature.split(",")], [*mel.mean(0), *mel.std(0)], atol=2e-3)
+        assert r.n_segments == len(r.segments) and r.active_s == pytest.approx(sum(s.end_s - s.start_s for s in r.segments), abs=1e-5)
+
+
 def test_features_hear_a_tone_and_its_span():
     t = np.arange(M.RATE) / M.RATE
     tone = np.where((t > 0.4) & (t < 0.7), np.sin(2 * np.pi * 1000 * t), 0.001 * np.sin(2 * np.pi * 100 * t)).astype(np.float32)

@@ -4,7 +4,8 @@ The payload is the text's UTF-8 bytes and zero bytes up to a positive multiple o
 8-bit WAV file of 16 kHz, which holds bytes as they are. All values come from the file as read back: the payload's digests
 and the features. Features: polyphase resampling to 8 kHz, log-mel filterbanks over frames that overlap by half, and energy
 segments with hysteresis (a segment opens above the high level and closes below the low one). The log-mel frames form tensors
-of PATCH_FRAMES x MELS, the last one filled with the floor, each with its time span in seconds.
+of PATCH_FRAMES x MELS, the last one filled with the floor, each with its time span in seconds; they are stored as an Arrow
+stream, and the feature digest is taken from the stream as read back.
 
 Defined cases: a null text is an empty one (64 zero bytes); equal texts have equal values; a long text is framed in blocks,
 so memory follows its bytes and not its frames; a null id stays; extra columns are ignored.
@@ -138,7 +139,7 @@ def load_tensors(stored: bytes) -> pa.Table:
     return pa.ipc.open_stream(stored).read_all()
 
 
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, active_s double"
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_tensors long, tensors_sha256 string, n_segments long, active_s double"
 
 
 def _row(text: str | None, keep: bool) -> dict:
@@ -146,19 +147,24 @@ def _row(text: str | None, keep: bool) -> dict:
     media = store(payload)
     back = read_back(media)
     mel = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
+    stored = _ipc(tensors(mel))
     spans = segments(mel)
-    means, spreads = mel.mean(0, dtype=np.float64), mel.std(0, dtype=np.float64)
+    # the feature is that of the frames as stored
+    kept = load_tensors(stored)
+    frames = kept.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, MELS)[: len(mel)]
+    means, spreads = frames.mean(0, dtype=np.float64), frames.std(0, dtype=np.float64)
     feature = ",".join(f"{x:.4f}" for x in (*means, *spreads))
-    row = {"n_bytes": n_bytes, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "n_frames": len(mel), "n_segments": len(spans), "active_s": round(sum(b - a for a, b in spans), 6)}
+    row = {"n_bytes": n_bytes, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "n_frames": len(mel), "n_tensors": len(kept), "tensors_sha256": hashlib.sha256(stored).hexdigest(), "n_segments": len(spans), "active_s": round(sum(b - a for a, b in spans), 6)}
+    row["segments"] = [{"start_s": a, "end_s": b} for a, b in spans]
     if keep:
-        row |= {"media": media, "features": _ipc(tensors(mel)), "segments": [{"start_s": a, "end_s": b} for a, b in spans]}
+        row |= {"media": media, "features": stored}
     return row
 
 
 def media_columns(df: DataFrame, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the digests; with keep also media (the file), features (an Arrow stream of tensors and time spans) and segments."""
+    """doc_id, the digests and segments (time spans); with keep also media (the file) and features (an Arrow stream of tensors and time spans)."""
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rest = T._parse_datatype_string(DIGESTS + (", media binary, features binary, segments array<struct<start_s:double,end_s:double>>" if keep else ""))
+    rest = T._parse_datatype_string(DIGESTS + ", segments array<struct<start_s:double,end_s:double>>" + (", media binary, features binary" if keep else ""))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *rest.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

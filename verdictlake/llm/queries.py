@@ -80,8 +80,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as audio: digests and features of the stored bytes."""
-    return media.media_columns(_table(spark, sf_dir, "documents"), keep=False)
+    """Every text as audio: digests of the stored bytes and tensors, the features read back from them, and the segments."""
+    return media.media_columns(_table(spark, sf_dir, "documents")).drop("media", "features")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
