@@ -13,6 +13,14 @@ MAX_FILE_BYTES, MAX_REPO_FILES, MAX_UPLOAD_BYTES = 524_288, 100, 512 * 1024
 SAMPLE_CHARS, PROMPT_CHARS, READ_CHARS = 2_000, 3_000, 8_000
 
 KEY = r"[A-Z][A-Z0-9_]*-\d+"
+#: White space of every script and line separators, as one regular-expression class and as characters.
+SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end, tabs, line ends and no-break spaces included; one pass, whatever the text."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -23,34 +31,34 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
 def blob_url(url: Column, host: str = "github.com") -> Column:
     """owner, repo, ref (one segment) and path of a file's URL; null if it isn't one."""
     pattern = rf"^https?://{host.replace('.', chr(92) + '.')}/([^/]+)/([^/]+)/blob/([^/]+)/(.+)"
-    u = F.trim(url)
+    u = strip(url)
     return F.when(u.rlike(pattern), F.struct(*(F.regexp_extract(u, pattern, k).alias(n) for k, n in enumerate(("owner", "repo", "ref", "path"), 1))))
 
 
 def repo_url(url: Column, host: str = "github.com") -> Column:
     """owner and repo of a repository's URL, which may end in .git and a slash."""
     pattern = rf"^https?://{host.replace('.', chr(92) + '.')}/([^/]+)/([^/]+?)(?:\.git)?/?$"
-    u = F.trim(url)
+    u = strip(url)
     return F.when(u.rlike(pattern), F.struct(F.regexp_extract(u, pattern, 1).alias("owner"), F.regexp_extract(u, pattern, 2).alias("repo")))
 
 
 def pull_url(url: Column, host: str = "github.com") -> Column:
     """owner, repo and number of a pull request's URL; text may follow the number."""
     pattern = rf"^https?://{host.replace('.', chr(92) + '.')}/([^/]+)/([^/]+)/pull/(\d+)"
-    u = F.trim(url)
+    u = strip(url)
     return F.when(u.rlike(pattern), F.struct(F.regexp_extract(u, pattern, 1).alias("owner"), F.regexp_extract(u, pattern, 2).alias("repo"), F.regexp_extract(u, pattern, 3).try_cast("bigint").alias("number")))
 
 
 def repo_of_input(mode: Column, text: Column) -> Column:
     """owner/repo of what was entered, by mode; null where it doesn't parse or the mode is unknown."""
     slash = lambda s: F.concat(s["owner"], F.lit("/"), s["repo"])
-    first_line = F.split(F.trim(text), r"\r?\n")[0]
+    first_line = F.split(strip(text), r"\r?\n")[0]
     return F.when(mode == "full_repo", slash(repo_url(text))).when(mode == "pull_request", slash(pull_url(text))).when(mode == "exact_files", slash(blob_url(first_line)))
 
 
 def ticket_key(text: Column) -> Column:
     """The ticket key of a bare key or a URL, by five patterns in order; '' if none. The last one leaves out the host."""
-    upper = F.upper(F.trim(text))
+    upper = F.upper(strip(text))
     region = F.when(F.contains(upper, F.lit("//")), F.regexp_extract(upper, r"//[^/]*(/.*)$", 1)).otherwise(upper)
     patterns = ((upper, f"^({KEY})$"), (upper, f"/BROWSE/({KEY})"), (upper, f"/ISSUES?/({KEY})"), (upper, f"[?&](?:SELECTED)?ISSUES?=({KEY})"), (region, f"({KEY})"))
     return F.coalesce(*(_group(t, p) for t, p in patterns), F.lit(""))
@@ -58,7 +66,7 @@ def ticket_key(text: Column) -> Column:
 
 def base_url(text: Column) -> Column:
     """Scheme and host, or ''."""
-    return F.regexp_extract(F.trim(text), r"^(https?://[^/]+)", 1)
+    return F.regexp_extract(strip(text), r"^(https?://[^/]+)", 1)
 
 
 def suffix(path: Column) -> Column:

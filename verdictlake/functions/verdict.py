@@ -33,13 +33,13 @@ def _objects(text: str) -> Iterator[object]:
             continue
         except ValueError:
             pass
-        depth, quote, k = 0, "", at
+        depth, quote, k, before = 0, "", at, ""  # before: the last character that is no blank
         while k < len(text):  # the matching brace, outside strings
             c = text[k]
             if quote:
                 k += c == "\\"
                 quote = "" if c == quote else quote
-            elif c in "\"'" and (c == '"' or re.search(r"[\[{,:]\s*$", text[:k])):
+            elif c == '"' or (c == "'" and before and before in "[{,:"):
                 quote = c
             elif c == "{":
                 depth += 1
@@ -47,6 +47,7 @@ def _objects(text: str) -> Iterator[object]:
                 depth -= 1
                 if not depth:
                     break
+            before = before if c.isspace() else c
             k += 1
         part = text[at : k + 1] if depth == 0 else text[at:] + "}" * depth
         part = re.sub(r",(\s*[}\]])", r"\1", re.sub(r"(?m)(^|[\s,{\[])//[^\n]*", r"\1", part))

@@ -39,37 +39,55 @@ def chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int =
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A stand-in for a model: components in [-1, 1) from hashes, the same for the same text."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.pmod(F.xxhash64(text, i), F.lit(2_000_000)) / 1_000_000.0 - 1).cast("float"))
+    digest = F.md5(text.cast("binary"))
+    part = lambda i: F.conv(F.left(F.md5(F.concat(digest, F.lit(":"), i.cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("bigint")
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.pmod(part(i), F.lit(2_000_000)) / 1_000_000.0 - 1).cast("float"))
+
+
+#: Queries that go to the tasks at once.
+BLOCK = 2048
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", values: str = "embedding") -> DataFrame:
     """query_id, key, cosine, rank: each query's nearest other vectors, ties by key.
 
-    The queries are a bounded set: they go to every task in blocks, each task keeps its best k a query, and only those are
-    shuffled.
+    The queries go to every task in blocks of about BLOCK, by hash of their key; each task keeps its best k a query, and only
+    those are shuffled. So neither the driver nor a task holds more than a block of queries, however many there are.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select(key, values).collect()
-    held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
     kind = vectors.schema[key].dataType.simpleString()
-
-    def run(batches):
-        ids, q = held.value
-        if not len(ids):
-            return
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for pdf in batches:
-            v = np.array(pdf[values].tolist(), np.float64)
-            cos = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            own = pdf[key].to_numpy()
-            for i in range(0, len(ids)):
-                c = np.where(own == ids[i], -np.inf, np.round(cos[i], 6))
-                best = np.lexsort((own, -c))[:k]
-                best = best[c[best] > -np.inf]
-                yield pd.DataFrame({"query_id": np.full(len(best), ids[i]), key: own[best], "cosine": c[best]})
-
-    near = vectors.select(key, values).mapInPandas(run, f"query_id {kind}, {key} {kind}, cosine double")
+    blocks = max(1, -(-queries.count() // BLOCK))
+
+    def nearest(block: int) -> DataFrame:
+        rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).select(key, values).collect()
+        held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+
+        def run(batches):
+            ids, q = held.value
+            if not len(ids):
+                return
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            # the best so far of each query: cosines, then keys
+            best, own = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), ids.dtype)
+            for pdf in batches:
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at : at + 1024]
+                    v = np.array(part[values].tolist(), np.float64)
+                    cos = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
+                    new = np.broadcast_to(part[key].to_numpy(), cos.shape)
+                    cos = np.where(new == ids[:, None], -np.inf, cos)
+                    best, own = np.concatenate([best, cos], 1), np.concatenate([own, new], 1)
+                    order = np.lexsort((own, -best), axis=1)[:, :k]
+                    best, own = np.take_along_axis(best, order, 1), np.take_along_axis(own, order, 1)
+            there = best > -np.inf
+            yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], best.shape)[there], key: own[there], "cosine": best[there]})
+
+        return vectors.select(key, values).mapInPandas(run, f"query_id {kind}, {key} {kind}, cosine double")
+
+    near = nearest(0)
+    for block in range(1, blocks):
+        near = near.unionByName(nearest(block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), key))
     return near.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictlake.functions.text import csv_line
+from verdictlake.functions.text import csv_line, strip
 
 HEADER = "Feature,Scenario,Given,When,Then,Expected Result"
 _START = r"(?d)^[ \t\r\n]*Scenario(?:\s+Outline)?\s*:"
@@ -22,8 +22,7 @@ def segments(text: Column) -> Column:
         # a header at the end without a title starts nothing
         lambda a: F.when((F.size(a) > 1) & F.get(a, F.size(a) - 1).rlike(bare), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), F.array(F.concat(F.get(a, F.size(a) - 2), F.get(a, F.size(a) - 1))))).otherwise(a),
     )
-    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    titled = F.transform(joined, lambda p: F.struct(trimmed(F.regexp_extract(p, r"(?d)^\s*Scenario(?:\s+Outline)?\s*:\s*([^\n]+)", 1)).alias("title"), trimmed(p).alias("text")))
+    titled = F.transform(joined, lambda p: F.struct(strip(F.regexp_extract(p, r"(?d)^\s*Scenario(?:\s+Outline)?\s*:\s*([^\n]+)", 1)).alias("title"), strip(p).alias("text")))
     return F.filter(titled, lambda s: s["title"] != "")
 
 
@@ -38,7 +37,7 @@ def steps(df: DataFrame, key: str, text: str) -> DataFrame:
     Lines get the feature and scenario they stand in by window functions within their document. A scenario belongs to the
     feature above it.
     """
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw")).withColumn("t", F.regexp_replace("raw", r"^\s+|\s+$", "")).filter((F.col("t") != "") & ~F.col("t").startswith("#"))
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw")).withColumn("t", strip(F.col("raw"))).filter((F.col("t") != "") & ~F.col("t").startswith("#"))
     t = F.col("t")
     word = F.when(t.startswith("Given "), "given").when(t.startswith("When "), "when").when(t.startswith("Then "), "then")
     is_scenario = t.rlike("^Scenario( Outline)?:")
@@ -71,4 +70,4 @@ def render(scenarios_: Column) -> Column:
             F.lit("  # Source AC: "), s["source_ac_clause"], F.lit("\n  Scenario: "), s["scenario"], F.lit("\n    "), s["given"], F.lit("\n    "), s["when"], F.lit("\n    "), s["then"], F.lit("\n"),
         ),
     )
-    return F.regexp_replace(F.array_join(block, "\n"), r"^\s+|\s+$", "")
+    return strip(F.array_join(block, "\n"))

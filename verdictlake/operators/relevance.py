@@ -20,12 +20,21 @@ def _pairs(scenarios: DataFrame) -> DataFrame:
     return scenarios.select("scenario_id", F.explode(keywords(F.concat_ws(" ", "title", "text"))).alias("keyword"))
 
 
+def _best(rows: list[np.ndarray], top: int) -> list[np.ndarray]:
+    """Of rows (scenario, score, pos, path) the `top` of each scenario: the highest scores, equal ones by place."""
+    order = np.lexsort((rows[2], -rows[1], rows[0]))
+    s = rows[0][order]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
+    return [x[order[nth < top]] for x in rows]
+
+
 def top_files(scenarios: DataFrame, files: DataFrame, top: int = TOP) -> DataFrame:
     """scenario_id, path, pos, score, rank: the best files of each scenario, equal scores by place.
 
     A keyword scores 3 inside the path and 1 inside the start of the content, as a substring. Files stay where they are:
-    every task walks a file's text once with an automaton of all keywords and keeps its best `top` files a scenario, and
-    only those are shuffled. Scenarios come in blocks of bounded size. With `top` files or fewer all are taken, in order.
+    every task walks a file's text once with an automaton of all keywords, makes rows of the scenarios it hits only and keeps
+    its best `top` a scenario, and only those are shuffled. Scenarios come in blocks of bounded size. With `top` files or fewer all are taken, in order.
     """
     pairs = _pairs(scenarios)
     total = pairs.count()
@@ -40,7 +49,7 @@ def top_files(scenarios: DataFrame, files: DataFrame, top: int = TOP) -> DataFra
         by_word: dict[str, list[int]] = {}
         for s, w in _pairs(part).collect():
             by_word.setdefault(w, []).append(place[s])
-        held = files.sparkSession.sparkContext.broadcast((ids, sorted(by_word), [by_word[w] for w in sorted(by_word)]))
+        held = files.sparkSession.sparkContext.broadcast((ids, sorted(by_word), [np.array(by_word[w]) for w in sorted(by_word)]))
         kind = scenarios.schema["scenario_id"].dataType.simpleString()
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -52,19 +61,30 @@ def top_files(scenarios: DataFrame, files: DataFrame, top: int = TOP) -> DataFra
                 automaton.add_word(w, k)
             if words:
                 automaton.make_automaton()
-            best = None
+            # the best hits so far as rows of scenario, score, pos, path; and the first files, which fill up scenarios with few hits
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)]
+            first: dict[int, str] = {}
             for pdf in batches:
-                scores = np.zeros((len(pdf), len(ids)), np.int32)
-                for row, (p, c) in enumerate(zip(pdf["p"], pdf["c"], strict=True)):
-                    for text, weight in ((p, 3), (c, 1)):
-                        for k in {k for _, k in automaton.iter(text)} if words and text else ():
-                            scores[row, owners[k]] += weight
-                now = pd.DataFrame({"s": np.tile(np.arange(len(ids)), len(pdf)), "pos": np.repeat(pdf["pos"].to_numpy(), len(ids)), "path": np.repeat(pdf["path"].to_numpy(), len(ids)), "score": scores.ravel().astype(np.int64)})
-                order = np.lexsort((now["pos"], -now["score"], now["s"]))
-                now = now.iloc[order].groupby("s", sort=False).head(top)
-                best = now if best is None else pd.concat([best, now]).sort_values(["s", "score", "pos"], ascending=[True, False, True]).groupby("s", sort=False).head(top)
-            if best is not None and len(best):
-                yield pd.DataFrame({"scenario_id": [ids[k] for k in best["s"]], "path": best["path"].to_numpy(), "pos": best["pos"].to_numpy(), "score": best["score"].to_numpy()})
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    keys, weights = [], []
+                    for row, (p, c) in enumerate(zip(part["p"], part["c"], strict=True)):
+                        for text, weight in ((p, 3), (c, 1)):
+                            for k in {k for _, k in automaton.iter(text)} if words and text else ():
+                                keys.append(owners[k] * 256 + row)
+                                weights.append(np.full(len(owners[k]), weight))
+                    pos, path = part["pos"].to_numpy(), part["path"].to_numpy()
+                    first = dict(sorted([*first.items(), *zip(pos.tolist(), path, strict=True)])[:top])
+                    if keys:
+                        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                        new = (key // 256, np.bincount(back, np.concatenate(weights)).astype(np.int64), pos[key % 256], path[key % 256])
+                        best = _best([np.concatenate(x) for x in zip(best, new, strict=True)], top)
+            if first:
+                n = len(ids)
+                fill = [np.repeat(np.arange(n), len(first)), np.zeros(n * len(first), np.int64), np.tile(np.array(list(first)), n), np.tile(np.array(list(first.values()), object), n)]
+                taken = np.isin(fill[0] * (1 << 40) + fill[2], best[0] * (1 << 40) + best[2]) if len(best[0]) else np.zeros(len(fill[0]), bool)
+                best = _best([np.concatenate([x, y[~taken]]) for x, y in zip(best, fill, strict=True)], top)
+                yield pd.DataFrame({"scenario_id": [ids[k] for k in best[0]], "path": best[3], "pos": best[2], "score": best[1]})
 
         got = cut.mapInPandas(run, f"scenario_id {kind}, path string, pos {files.schema['pos'].dataType.simpleString()}, score bigint")
         found = got if found is None else found.unionByName(got)

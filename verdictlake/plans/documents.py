@@ -79,9 +79,21 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.size(parts).cast("bigint").alias("n"), F.array_max(F.transform(parts, lambda x: F.length(x))).cast("bigint").alias("longest"))
 
 
-@query("chunk_overlap")
+#: By chunk, not by sentence: p are the sums of words before each sentence, e the sentence that closes a chunk.
+_CHUNKS = rf"""
+with recursive a as (select doc_id, s parts, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) counts from ({_SENT})),
+b as (select doc_id, parts, counts, len(parts) n, list_transform(range(0, len(parts) + 1), lambda i: coalesce(list_sum(counts[1:i]), 0)::bigint) p from a),
+c(doc_id, chunk, s, e) as (
+  select doc_id, 0::bigint, 0::bigint, greatest(1, len(list_filter(p, lambda x: x <= {C.SIZE})) - 1)::bigint from b
+  union all
+  select doc_id, chunk + 1, t, greatest(e + 1, len(list_filter(p, lambda x: x <= p[t + 1] + {C.SIZE})) - 1) from (
+    select c.doc_id, chunk, e, p, least(e - 1, greatest(s, len(list_filter(p, lambda x: x < p[e + 1] - {C.OVERLAP})))) t from c join b using (doc_id) where e < n))
+"""
+
+
+@query("chunk_overlap", _CHUNKS + "select doc_id, chunk, coalesce(list_sum(counts[s + 1:e]), 0)::bigint n_words, md5(array_to_string(parts[s + 1:e], ' ')) digest from c join b using (doc_id)")
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of 500 words that share about 50 with the one before. Recursive SQL takes too long over whole texts, so a sequential model is the test."""
+    """Chunks of 500 words that share about 50 with the one before."""
     return C.chunks(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -92,10 +104,11 @@ def vector_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(rows, ["namespace", "id"], "written")
 
 
-@query("chunk_vectors", "select doc_id, len(text) n, 64 dims from documents")
+@query("chunk_vectors", "select doc_id, len(text) n, md5(array_to_string(list_transform(range(64), lambda i: (('0x' || left(md5(md5(text) || ':' || i), 8))::bigint % 2000000)), ',')) digest from documents")
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """A stand-in embedding for every text."""
-    return table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"), F.size(C.hash_embedding(F.col("text"))).alias("dims"))
+    """A stand-in embedding for every text, and a digest of its values in millionths."""
+    values = F.transform(C.hash_embedding(F.col("text")), lambda x: F.round((x.cast("double") + 1) * 1_000_000).cast("bigint").cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5(F.array_join(values, ",").cast("binary")).alias("digest"))
 
 
 @query("cosine_topk", """
@@ -114,7 +127,6 @@ _REPLY = "case o_orderkey % 6 when 0 then 'no json here' when 1 then '{\"type\":
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    # replies come in few partitions from a small file: spread them before Python
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr(_REPLY).alias("reply"))
     return orders.withColumn("j", D.verdict_json("reply"))
 

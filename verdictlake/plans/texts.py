@@ -103,10 +103,10 @@ def warning_rows_dropped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(~name.startswith("[WARNING]")).select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
 
 
-@query("exact_file_lines", r"select doc_id, count(*) n_lines, min(trim(line)) first_line from (select doc_id, unnest(string_split(text, chr(10))) line from documents) where trim(line) <> '' group by 1")
+@query("exact_file_lines", r"select doc_id, count(*) n_lines, min(trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(133))) first_line from (select doc_id, unnest(string_split(text, chr(10))) line from documents) where trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(133)) <> '' group by 1")
 def exact_file_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines entered, without blank ones, handled inside each row."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
     return table(spark, d, "documents").select("doc_id", lines.alias("l")).filter(F.size("l") > 0).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.array_min("l").alias("first_line"))
 
 
@@ -244,8 +244,9 @@ def ac_field_pick(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d).select("ticket_id", "ac", F.col("score").cast("bigint").alias("score"))
 
 
-_DESC = "case o_orderkey % 5 when 0 then 'Intro' || chr(10) || 'Acceptance Criteria:' || chr(10) || chr(10) || '- one ' || cast(o_custkey as string) || chr(10) || ' two ' || chr(10) || chr(10) || 'after' when 1 then 'Business rules' || chr(10) || 'r ' || cast(o_custkey as string) || chr(10) || 'Next part:' || chr(10) || 'x' when 2 then 'A' || chr(10) || ' ac: inline ' || cast(o_custkey as string) when 3 then '  only ' || cast(o_custkey as string) else '' end"
-_SECTION = "case o_orderkey % 5 when 0 then '- one ' || cast(o_custkey as string) || chr(10) || 'two' when 1 then 'r ' || cast(o_custkey as string) when 2 then 'inline ' || cast(o_custkey as string) else '' end"
+_WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+_DESC = "case o_orderkey % 7 when 5 then 'x' || chr(13) || chr(10) || chr(9) || 'Acceptance Criterion :' || chr(9) || chr(13) || chr(10) || chr(9) || chr(13) || chr(10) || chr(9) || 'tab ' || cast(o_custkey as string) || chr(9) || chr(13) || chr(10) || chr(9) || chr(13) || chr(10) || 'two' when 6 then chr(9) || 'acceptance criteria:' || chr(160) || 'in line ' || cast(o_custkey as string) || chr(9) || chr(13) || chr(10) else case o_orderkey % 5 when 0 then 'Intro' || chr(10) || 'Acceptance Criteria:' || chr(10) || chr(10) || '- one ' || cast(o_custkey as string) || chr(10) || ' two ' || chr(10) || chr(10) || 'after' when 1 then 'Business rules' || chr(10) || 'r ' || cast(o_custkey as string) || chr(10) || 'Next part:' || chr(10) || 'x' when 2 then 'A' || chr(10) || ' ac: inline ' || cast(o_custkey as string) when 3 then '  only ' || cast(o_custkey as string) else '' end end"
+_SECTION = "case o_orderkey % 7 when 5 then 'tab ' || cast(o_custkey as string) when 6 then 'in line ' || cast(o_custkey as string) else case o_orderkey % 5 when 0 then '- one ' || cast(o_custkey as string) || chr(10) || 'two' when 1 then 'r ' || cast(o_custkey as string) when 2 then 'inline ' || cast(o_custkey as string) else '' end end"
 
 
 @query("ac_section", f"select o_orderkey, {_SECTION} body from orders")
@@ -254,7 +255,7 @@ def ac_section(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", K.section(F.expr(_DESC)).alias("body"))
 
 
-@query("ac_cascade", _BEST + f"select o_orderkey, a ac, length(a) >= 20 usable from (select o_orderkey, coalesce(nullif(b.ac, ''), nullif({_SECTION}, ''), nullif(trim({_DESC}), ''), 'Summary ' || o_orderpriority) a from orders left join b on o_orderkey = l_orderkey)")
+@query("ac_cascade", _BEST + f"select o_orderkey, a ac, length(a) >= 20 usable from (select o_orderkey, coalesce(nullif(b.ac, ''), nullif({_SECTION}, ''), nullif(trim({_DESC}, {_WHITE}), ''), 'Summary ' || o_orderpriority) a from orders left join b on o_orderkey = l_orderkey)")
 def ac_cascade(spark: SparkSession, d: str) -> DataFrame:
     """The cascade from fields to summary, and F12: whether it is long enough."""
     ac = K.cascade(F.col("ac"), F.expr(_DESC), F.expr("'Summary ' || o_orderpriority"))

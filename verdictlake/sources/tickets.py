@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.functions import ticket as K
-from verdictlake.functions.text import upload_problem
+from verdictlake.functions.text import strip, upload_problem
 
 #: The parts of an issue that have a fixed shape; all fields are also kept as JSON by key.
 ISSUE = "key string, names map<string,string>, fields struct<summary:string,labels:array<string>,issuelinks:array<struct<outwardIssue:struct<key:string>,inwardIssue:struct<key:string>>>>"
@@ -20,7 +20,7 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(issue.alias("i"), fields.alias("f")).filter("i.key is not null")
     each = rows.select(F.col("i.key").alias("ticket_id"), F.col("i.names").alias("names"), F.posexplode(F.map_entries("f")).alias("pos", "e"))
     # strings come bare out of the map, documents and lists as JSON
-    value = F.when(F.trim("e.value").rlike(r"^[\[{]"), K.field_text("e.value")).otherwise(F.col("e.value"))
+    value = F.when(strip(F.col("e.value")).rlike(r"^[\[{]"), K.field_text("e.value")).otherwise(F.col("e.value"))
     named = each.select("ticket_id", "pos", F.col("e.key").alias("key"), F.coalesce(F.try_element_at("names", "e.key"), F.col("e.key")).alias("label"), value.alias("value"))
     best = K.best_field(named)
     text = named.filter(F.col("key") == "description").select("ticket_id", F.col("value").alias("description"))
