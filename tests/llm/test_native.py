@@ -38,7 +38,9 @@ def brute(docs, items):
     return {k: tuple(v) for k, v in out.items()}
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("bound", [D.MAX_BROADCAST_SEEDS, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", bound)
     rng = random.Random(3)
     vocabulary = ["the", "of", "and", *(f"w{k}" for k in range(30)), "é", "日本"]
     items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((1, 3, 7, 8, 12, 13, 14, 20, 30))]
@@ -57,7 +59,17 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): (r.n_windows, r.best_equal, r.doc_word) for r in got.collect()} == brute(docs, items)
 
 
-def test_decontamination_hard_cases(spark):
+@pytest.mark.parametrize("bound", [D.MAX_BROADCAST_SEEDS, 0])
+def test_one_run_repeated_in_item_and_document(spark, monkeypatch, bound):
+    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", bound)
+    docs, items = [(1, "a " * 60), (2, "b " * 30 + "a " * 14)], [(1, "a " * 40), (None, "b " * 20), (None, "c " * 20)]
+    got = D.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.best_equal, r.doc_word) for r in got.collect()} == brute(docs, items[:2])
+
+
+@pytest.mark.parametrize("bound", [D.MAX_BROADCAST_SEEDS, 0])
+def test_decontamination_hard_cases(spark, monkeypatch, bound):
+    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", bound)
     item = " ".join(f"b{k}" for k in range(20))
     bench = spark.createDataFrame([(5, item.upper()), (2, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " * 30000 + item, "a"), (1, item, "b"), (None, item, "c"), (3, "clean", "d"), (None, "clean", "e")], "doc_id long, text string, hashes string")
@@ -92,6 +104,32 @@ def test_license_suppression_keeps_the_surest(spark):
     assert len(L.RULES) > 200 and len({x.id for x in L.RULES}) == len(L.RULES)
 
 
+def _renditions(signature):
+    """A signature's words without what may be missing, and with all of it."""
+    least = re.sub(r"\[[^\]]*\]", "", signature)
+    most = re.sub(r"\[([^\]|]*)[^\]]*\]", r"\1", signature)
+    return [" ".join(re.sub(r"\(([^)|]*)[^)]*\)", r"\1", x).split()) for x in (least, most)]
+
+
+def test_every_signature_finds_its_text(spark):
+    cases = [(line.split(" | ")[0], text) for line in L.SIGNATURES.strip().split("\n") for text in _renditions(line.split(" | ")[4])]
+    cases += [(tag.lower(), f"// SPDX-License-Identifier: {tag}") for tag in L.TAGS]
+    cases += [("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"), ("gpl-3", "released as GPLv3"), ("isc", "SPDX-License-Identifier: ISC"), ("apache-2.0", "http://www.apache.org/licenses/LICENSE-2.0"), ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted")]
+    found = {r.doc_id: r for r in L.scan(spark.createDataFrame([(k, f"So: {t.capitalize()}; end") for k, (_, t) in enumerate(cases)], DOC)).collect()}
+    for k, (label, text) in enumerate(cases):
+        assert label in found[k].labels.split(",") and found[k].score >= 0.6, (label, text, found[k])
+    assert all(r.keyword.count("  ") == len(r.keyword.split()) - 1 and L.gate_of(r) for r in L.RULES)
+
+
+def test_a_text_of_many_mentions(spark):
+    """Two thirds of a megabyte of mentions: far from quadratic."""
+    import time
+
+    start = time.time()
+    r = L.scan(spark.createDataFrame([(1, "licensed under the MIT License, version 2.0. GNU GPL v3 " * 12_000)], DOC)).first()
+    assert (r.n_base, r.n_detections, r.labels) == (12_000, 24_000, "gpl-3,mit") and time.time() - start < 60
+
+
 def _oracle(sql, docs):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

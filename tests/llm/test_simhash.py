@@ -118,3 +118,26 @@ def test_wide_fingerprints_find_near_copies(spark):
     got = S.near_duplicates(spark.createDataFrame(docs, DOC), shingle=5, words=4, distance=40, probe_distance=11).collect()
     assert sum(r.component_id == r.doc_id % 100 for r in got if r.doc_id >= 100) >= 29
     assert all(r.component_id == r.doc_id for r in got if r.doc_id < 100)
+
+
+def test_a_hub_is_dealt_to_several_tasks(spark):
+    """A node with 100,000 links, and a chain: components, and the rows that any task of the join back gets."""
+    from verdictlake.llm.graph import with_groups
+
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+        chain = spark.range(200_000, 200_005).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+        got = {r.root: r.n for r in components(star.unionByName(chain)).groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert got == {0: 100_001, 200_000: 6}
+        joined = with_groups(star, "u", 100_000, F.col("v"), low=F.min("v"))
+        assert joined.filter("low = 1").count() == 100_000
+        most = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[2])

@@ -8,10 +8,11 @@ A spaced seed is a mask over word positions that ignores some of them. Every win
 at least one placement of one of MASKS untouched (a test tries all), so joining the hashes under the masks of documents and
 items finds every leak; each joined place is then checked word by word. Hashes of document places are made and probed inside
 one generated loop a document, so only hits become rows. The benchmark side is broadcast while it has at most
-MAX_BROADCAST_SEEDS rows of 24 bytes, and shuffled beyond that.
+MAX_BROADCAST_SEEDS rows of some 60 bytes. Beyond that places are shuffled as text key, place and hash only, and the words of
+texts with a hit are fetched once.
 
 Defined cases: null and word-free texts never match; benchmark rows with the same words count once, under the smallest
-item_id; the same document id on several rows gives one row an item; extra columns are ignored; empty tables give no rows.
+item_id; items without an id give a row each, with a null item_id; the same document id on several rows gives one row an item; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import NON_WORD, row_key, spaced, without_keys
+from verdictlake.llm.common import ASCII_LOWER, MAX_BROADCAST_KEYS, NON_WORD, durable, row_key, spaced, without_keys
 
 WINDOW, NEEDED = 13, 11
 #: Two masks of six words; together they meet every choice of two substitutions in thirteen words.
@@ -43,33 +44,52 @@ def _places(df: DataFrame, id_name: str, masks: list[tuple[int, ...]]) -> DataFr
     return each.select(id_name, "hashes", "n", "pos", F.explode(_keys(F.col("hashes"), F.col("pos"), F.col("n"), masks)).alias("key"))
 
 
+def _text_key(hashes: Column) -> Column:
+    """128 bits that tell texts apart by their words."""
+    return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), hashes)), 16, "0") for k in (1, 2)))
+
+
+def _fetched(corpus: DataFrame, seeds: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """doc_id, item_key, shift, n_item, n and hashes of the hits where seeds are many: no place carries its text's words through the shuffle."""
+    texts = corpus.withColumn("text_key", _text_key(F.col("hashes")))
+    places = _places(texts, "text_key", masks).select("text_key", "n", "pos", "key").filter(F.col("key").isNotNull())
+    hits = durable(places.join(seeds, "key").select("text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "n_item", "n").distinct())
+    hit_texts = durable(hits.select("text_key").distinct())
+    of = F.broadcast(hit_texts) if hit_texts.count() <= MAX_BROADCAST_KEYS else hit_texts
+    words = durable(texts.join(of, "text_key").select("doc_id", "text_key", "hashes"))
+    return hits.join(words, "text_key")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (pairs of windows that agree), best_equal (most equal words in one), doc_word (where the first starts)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), _hashes(F.col(item_text_col)).alias("item_hashes")).filter(F.size("item_hashes") > 0)
-    items = items.groupBy("item_hashes").agg(F.min("item_id").alias("item_id")).select("item_id", F.col("item_hashes").alias("hashes"), F.size("item_hashes").alias("n"))
+    items = items.groupBy("item_hashes").agg(F.min("item_id").alias("item_id")).select(_text_key(F.col("item_hashes")).alias("item_key"), "item_id", F.col("item_hashes").alias("hashes"), F.size("item_hashes").alias("n"))
     # items too short for the masks get one mask over all their words
     span = max(m[-1] for m in MASKS) + 1
     short = sorted(r[0] for r in items.filter(F.col("n") < span).select("n").distinct().collect())
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    seeds = _places(items.select("item_id", "hashes"), "item_id", masks).filter(F.col("key").isNotNull()).select("key", "item_id", F.col("pos").alias("item_pos"), F.col("n").alias("n_item"))
+    seeds = _places(items.select("item_key", "hashes"), "item_key", masks).filter(F.col("key").isNotNull()).select("key", "item_key", F.col("pos").alias("item_pos"), F.col("n").alias("n_item"))
     bounded = seeds.count() <= MAX_BROADCAST_SEEDS
     small = F.broadcast if bounded else (lambda x: x)
 
     corpus = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("hashes"))
-    hits = _places(corpus, "doc_id", masks).join(small(seeds), "key")
-    shift = F.col("pos") - F.col("item_pos")  # where the item would start in the document
-    start = F.greatest(shift, F.lit(0))
-    hits = hits.select("doc_id", "item_id", shift.alias("shift"), F.slice("hashes", start + 1, F.least(F.col("n_item") + shift, F.col("n")) - start).alias("part")).dropDuplicates()
-
-    beside = hits.join(small(items), "item_id").withColumn("own", F.slice("hashes", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part")))
+    if bounded:
+        shift = F.col("pos") - F.col("item_pos")  # where the item would start in the document
+        hits = _places(corpus, "doc_id", masks).join(small(seeds), "key").withColumn("shift", shift)
+    else:
+        hits = _fetched(corpus, seeds, masks)
+    start = F.greatest("shift", F.lit(0))
+    hits = hits.select("doc_id", "item_key", "shift", F.slice("hashes", start + 1, F.least(F.col("n_item") + F.col("shift"), F.col("n")) - start).alias("part")).dropDuplicates()
+
+    beside = hits.join(small(items), "item_key").withColumn("own", F.slice("hashes", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("part")))
     width, least = F.least(F.col("n"), F.lit(WINDOW)), F.when(F.col("n") < WINDOW, F.col("n")).otherwise(NEEDED)
     equal = F.zip_with("part", "own", lambda a, b: (a == b).cast("int"))
-    beside = beside.select("doc_id", "item_id", "shift", width.alias("width"), least.alias("least"), equal.alias("equal")).filter(F.size("equal") >= F.col("width"))
+    beside = beside.select("doc_id", "item_key", "item_id", "shift", width.alias("width"), least.alias("least"), equal.alias("equal")).filter(F.size("equal") >= F.col("width"))
     sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1), lambda i: F.aggregate(F.slice("equal", i, F.col("width")), F.lit(0), lambda a, x: a + x))
     beside = beside.withColumn("sums", sums)
     agree = F.transform("sums", lambda x: x >= F.col("least"))
-    found = beside.select("doc_id", "item_id", F.size(F.filter(agree, lambda x: x)).alias("n"), F.array_max("sums").alias("best"), (F.greatest(F.col("shift"), F.lit(0)) + F.array_position(agree, F.lit(True)) - 1).alias("at")).filter(F.col("n") > 0)
-    return found.groupBy("doc_id", "item_id").agg(F.sum("n").cast("bigint").alias("n_windows"), F.max("best").cast("bigint").alias("best_equal"), F.min("at").cast("bigint").alias("doc_word"))
+    found = beside.select("doc_id", "item_id", F.when(F.col("item_id").isNull(), F.col("item_key")).alias("of"), F.size(F.filter(agree, lambda x: x)).alias("n"), F.array_max("sums").alias("best"), (F.greatest(F.col("shift"), F.lit(0)) + F.array_position(agree, F.lit(True)) - 1).alias("at")).filter(F.col("n") > 0)
+    return found.groupBy("doc_id", "item_id", "of").agg(F.sum("n").cast("bigint").alias("n_windows"), F.max("best").cast("bigint").alias("best_equal"), F.min("at").cast("bigint").alias("doc_word")).drop("of")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,9 +107,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 #: The same pairs by comparing every word of every document with every word of every item.
 ORACLE = f"""
-with d as (select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '{NON_WORD}', ' ', 'g')), ' ') w from documents),
+with d as (select doc_id, string_split(trim(regexp_replace({ASCII_LOWER}, '{NON_WORD}', ' ', 'g')), ' ') w from documents),
 dn as (select doc_id, w, len(w) n from d where w[1] <> ''),
-b as (select min(item_id) item_id, w from (select item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '{NON_WORD}', ' ', 'g')), ' ') w from benchmark) where w[1] <> '' group by w),
+b as (select min(item_id) item_id, w from (select item_id, string_split(trim(regexp_replace({ASCII_LOWER}, '{NON_WORD}', ' ', 'g')), ' ') w from benchmark) where w[1] <> '' group by w),
 bw as (select item_id, len(w) m, unnest(w) word, generate_subscripts(w, 1) - 1 j from b),
 dw as (select doc_id, n, unnest(w) word, generate_subscripts(w, 1) - 1 i from dn),
 p as (select doc_id, item_id, i - j shift, j, n, m, least(m, {WINDOW}) width, case when m < {WINDOW} then m else {NEEDED} end need from dw join bw using (word)),
