@@ -142,3 +142,69 @@ def test_stream_equals_batch(spark, tmp_path):
     q = S.running_counts(S.events(frames)).writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.status: r.n for r in spark.table("running").collect()} == {"pass": 1, "fail": 1}
+
+
+def test_folders_can_be_looked_into_and_searched(tmp_path):
+    from verdictlake.functions.agents import repository_tools
+    from verdictlake.sources.fetch import FetchError, FolderFetcher
+
+    for k in range(12):
+        (tmp_path / f"o/r/s{k % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"o/r/s{k % 2}/f{k:02}.py").write_text("Find ME" if k != 3 else "other")
+    (tmp_path / "o/r/top.py").write_text("x" * 9000)
+    tools = repository_tools(FolderFetcher(str(tmp_path)), "o/r", "https://h/")
+    assert json.loads(tools["list_directory"]("")) == ["s0/", "s1/", "top.py"] and len(json.loads(tools["list_directory"]("/s0/"))) == 6
+    found = json.loads(tools["search_code"]("find me"))
+    assert len(found) == 10 and found[0] == {"path": "s0/f00.py", "url": "https://h/s0/f00.py"}
+    assert len(tools["get_file_contents"]("/top.py")) == 8000
+    for call in (lambda: tools["list_directory"]("top.py"), lambda: tools["list_directory"]("../../.."), lambda: tools["get_file_contents"]("none")):
+        with pytest.raises(FetchError):
+            call()
+
+    class Refuses(FolderFetcher):
+        def search(self, place, text, most=10):
+            raise FetchError(self.status)
+
+    refuses = Refuses(str(tmp_path))
+    refuses.status = 422
+    assert repository_tools(refuses, "o/r")["search_code"]("x") == "[]"
+    refuses.status = 500
+    with pytest.raises(FetchError):
+        repository_tools(refuses, "o/r")["search_code"]("x")
+
+
+def test_cached_views_go_stale(spark):
+    from verdictlake.sources.cached import Views
+
+    now, made = [0.0], []
+    views = Views(60, lambda: now[0])
+
+    def load():
+        made.append(1)
+        return spark.range(len(made))
+
+    assert views.read("a", load).count() == views.read("a", load).count() == 1 and len(made) == 1
+    now[0] = 61.0
+    assert views.read("a", load).count() == 2
+    views.drop("a")
+    assert views.read("a", load).count() == 3
+
+    def fails():
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError):
+        views.read("b", fails)
+
+
+def test_cancelled_streams_leave_nothing(spark, tmp_path):
+    import os
+    import time
+
+    from verdictlake.streaming import verdicts as S
+
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    run = rate.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").start()
+    while not os.path.exists(f"{tmp_path}/c"):
+        time.sleep(0.2)
+    S.cancel(spark, run, f"{tmp_path}/c", f"{tmp_path}/never")
+    assert not run.isActive and not os.path.exists(f"{tmp_path}/c")

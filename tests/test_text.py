@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,57 @@ def test_verdict_rules(spark):
     forced = one(spark, "pass", D.overridden(F.col("x"), F.lit(None).cast("string"), F.array(*map(F.lit, "abcd")), F.lit(0)))
     assert forced.status == "fail" and forced.suggestion.endswith("a; b; c")
     assert one(spark, "pass", D.overridden(F.col("x"), F.lit(None).cast("string"), F.array(F.lit("a")), F.lit(1))).status == "pass"
+
+
+WHITE = ["\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", " \r\n"]
+
+
+def test_strip_is_that_of_all_white_space(spark):
+    texts = [a + "x \t y" + b for a in WHITE for b in WHITE] + ["", "\t \r\n", "\u200bx"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.strip(F.col("t")).alias("s")).collect()
+    assert all(r.s == texts[r.k].strip() for r in got)
+
+
+def test_sections_with_tabs_and_carriage_returns(spark):
+    cases = {
+        "Acceptance Criteria:\n\tone\n\t\ntwo": "one",
+        "x\r\nAcceptance Criteria\r\n\r\n- a\r\n\tb\t\r\n\r\nc": "- a\nb",
+        "\tBusiness rules\t\n\xa0r1\xa0\nNext part:\nr2": "r1",
+        "\tac:\tinline\t": "inline",
+        "each access: no": "",
+        "AC\u2003:\u2003wide": "wide",
+        "Acceptance criterion\n\x0c\n\x0bpage": "page",
+        "acceptance criteria\na b c d e f:\nx": "",
+        "acceptance criteria\na b c d e f g:\nx": "a b c d e f g:\nx",
+        "": "",
+        "\t": "",
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", K.section(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert r.s == cases[r.t], r.t
+
+
+def test_texts_of_documents(spark):
+    leaf = lambda t: {"type": "text", "text": t}
+    cases = {
+        json.dumps({"type": "doc", "content": [{"type": "p", "content": [leaf("a"), {"type": "b", "content": [leaf("b ")]}]}, leaf("c"), "stray", 4]}): "a b  c",
+        json.dumps([" x ", {"content": [leaf("y")]}, [], [None, ["z", True]], 1.5]): "x\ny\nNone\nz\nTrue\n1.5",
+        json.dumps({"type": "text", "text": "t", "content": [leaf("u")]}): "t u",
+        json.dumps({"content": {"type": "text", "text": "no list"}}): "",
+        json.dumps("\tq\r\n"): "q",
+        "\tno json ": "no json",
+        "{}": "",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", K.field_text("v").alias("t")).collect()
+    for r in got:
+        assert r.t == cases[r.v], r.v
+
+
+def test_long_replies_are_read_in_linear_time():
+    import time
+
+    start = time.time()
+    broken = "{'scenario_id': 'x', 'justification': '" + "it\\'s so, isn\\'t it; " * 40_000 + "', 'status': 'pass',}"
+    assert json.loads(D.verdict_of(broken))["status"] == "pass"
+    D.verdict_of("{" + "'a " * 200_000)
+    assert time.time() - start < 10

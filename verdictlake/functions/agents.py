@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from verdictlake.functions import verdict as D
 from verdictlake.functions.models import REASK, TOOLS, Model, ToolCalls, generate
 from verdictlake.functions.text import READ_CHARS, absolute_link
-from verdictlake.sources.fetch import Fetcher
+from verdictlake.sources.fetch import Browser, FetchError, with_retry
 
 ROUNDS = 20
 
@@ -36,9 +36,30 @@ def structured(df: DataFrame, prompt: str, make: Callable[[], Model], schema: T.
     return generate(asked, prompt, make, system).withColumn(out, F.from_json(D.outer_json(F.col("reply")), schema)).drop("reply")
 
 
-def repository_tools(source: Fetcher, root: str) -> dict[str, Callable[..., str]]:
-    """get_file_contents over a fetcher, for a repository's contents below `root`; other tools are registered like it."""
-    return {"get_file_contents": lambda path: source.get(f"{root}/{path.lstrip('/')}").decode("utf-8", "replace")[:READ_CHARS]}
+def repository_tools(source: Browser, root: str, url: str = "") -> dict[str, Callable[..., str]]:
+    """The three tools that agents may call, over the contents of a repository below `root`; `url` is what file links start with.
+
+    What can't be read, isn't there or isn't a folder is an error of the call. A host that refuses searches (403, 422) has found
+    nothing, so that an agent goes on by looking into folders.
+    """
+
+    def search_code(query: str, **_: str) -> str:
+        try:
+            found = source.search(root, query)
+        except FetchError as e:
+            if e.status not in (403, 422):
+                raise
+            found = []
+        paths = [x.removeprefix(f"{root}/") for x in found]
+        return json.dumps([{"path": p, "url": f"{url}{p}"} for p in paths])
+
+    def get_file_contents(path: str, **_: str) -> str:
+        return with_retry(lambda: source.get(f"{root}/{path.lstrip('/')}")).decode("utf-8", "replace")[:READ_CHARS]
+
+    def list_directory(path: str = "", **_: str) -> str:
+        return json.dumps([name + "/" * folder for name, folder in source.entries(f"{root}/{path.strip('/')}".rstrip("/"))])
+
+    return {f.__name__: f for f in (search_code, get_file_contents, list_directory)}
 
 
 def converse(model: ToolModel, prompt: str, system: str, calls: ToolCalls, rounds: int = ROUNDS) -> str:
@@ -81,7 +102,7 @@ def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_too
     kept = prompts.select("scenario_id", "prompt", repo.alias("_repo"))
 
     def finished(asked: DataFrame) -> DataFrame:
-        v = D.parse(D.verdict_json("reply"))
+        v = D.parse(D.read(F.col("reply")))
         found = asked.withColumn("verdict", v)
         over = D.overridden(F.col("verdict.status"), F.col("verdict.implementation_suggestion"), F.col("tool_errors"), F.col("tool_successes"))
         links = F.transform(F.coalesce("verdict.github_links", F.array().cast("array<string>")), lambda x: absolute_link(x, F.col("_repo")))

@@ -71,7 +71,16 @@ def verdict_of(reply: str | None) -> str | None:
 def verdict_json(replies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """verdict_of, for columns; mending broken JSON has no built-in."""
     for series in replies:
-        yield series.map(verdict_of)
+        yield series.map(verdict_of, na_action="ignore")
+
+
+def read(reply: Column) -> Column:
+    """verdict_of for a column of replies. Those whose JSON is whole are read by built-ins; Python gets the others, and nulls."""
+    outer = outer_json(reply)
+    # built-ins read the first value only: what looks like more than one object goes to Python
+    one = outer.startswith("{") & ~outer.rlike(r"\}\s*(?:[^\s,\]}]|,\s*\{)")
+    whole = F.when(one & F.try_parse_json(outer).isNotNull() & (F.size(F.json_object_keys(outer)) > 0), outer)
+    return F.coalesce(whole, verdict_json(F.when(whole.isNull(), reply)))
 
 
 def parse(verdict: Column) -> Column:

@@ -128,7 +128,7 @@ _REPLY = "case o_orderkey % 6 when 0 then 'no json here' when 1 then '{\"type\":
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr(_REPLY).alias("reply"))
-    return orders.withColumn("j", D.verdict_json("reply"))
+    return orders.withColumn("j", D.read(F.col("reply")))
 
 
 @query("verdict_extract", "select o_orderkey, case when o_orderkey % 6 in (1, 2, 3, 5) then 't' end title, case o_orderkey % 6 when 1 then 'pass' when 2 then 'maybe' when 3 then 'pass' when 5 then 'fail' end status, o_orderkey % 6 in (1, 2, 3, 5) marked from orders")

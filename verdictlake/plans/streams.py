@@ -15,18 +15,23 @@ from verdictlake.streaming import verdicts as S
 _VERDICTS = "select event_id, case when value > 50 then 'pass' else 'fail' end status from events where event_type <> 'error'"
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; only a local session may do without spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(root or tempfile.mkdtemp(prefix="stream"), f"stream-{uuid.uuid4().hex}")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
+    root = folder(spark)
     kind = F.when(F.col("event_type") == "error", "error").otherwise("verdict")
     body = F.to_json(F.struct(kind.alias("type"), F.col("event_id").cast("string").alias("scenario_id"), F.when(F.col("value") > 50, "pass").otherwise("fail").alias("status"), F.col("event_type").alias("message")))
-    table(spark, d, "events").select(F.concat(F.lit("data: "), body).alias("value")).write.text(f"{folder}/frames")
-    S.append_verdicts(S.events(S.read_frames(spark, f"{folder}/frames")), f"{folder}/verdicts", f"{folder}/errors", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/verdicts")
+    table(spark, d, "events").select(F.concat(F.lit("data: "), body).alias("value")).write.text(f"{root}/frames")
+    run = S.append_verdicts(S.events(S.read_frames(spark, f"{root}/frames")), f"{root}/verdicts", f"{root}/errors", f"{root}/checkpoint")
+    run.awaitTermination()
+    S.cancel(spark, run, f"{root}/frames", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/verdicts")
 
 
 @query("verdict_stream", _VERDICTS)

@@ -23,6 +23,16 @@ class Fetcher(Protocol):
     def get(self, place: str) -> bytes: ...
 
 
+class Browser(Fetcher, Protocol):
+    """A fetcher that can also look around."""
+
+    def entries(self, place: str) -> list[tuple[str, bool]]:
+        """Names below a folder, and whether each is one."""
+
+    def search(self, place: str, text: str) -> list[str]:
+        """The first files below a place that hold a text."""
+
+
 def with_retry(call: Callable[[], bytes], sleep: Callable[[float], None] = time.sleep) -> bytes:
     """Up to four attempts while the host says it is busy (429), with pauses of 1, 2 and 4 seconds."""
     for attempt in range(ATTEMPTS):
@@ -51,6 +61,25 @@ class FolderFetcher:
         except (FileNotFoundError, IsADirectoryError, NotADirectoryError) as e:
             raise FetchError(404, place) from e
 
+    def entries(self, place: str) -> list[tuple[str, bool]]:
+        path = os.path.abspath(os.path.join(self.root, place.lstrip("/")))
+        if not (path + os.sep).startswith(self.root + os.sep):
+            raise FetchError(403, place)
+        try:
+            return sorted((e.name, e.is_dir()) for e in os.scandir(path))
+        except (FileNotFoundError, NotADirectoryError) as e:
+            raise FetchError(404, place) from e
+
+    def search(self, place: str, text: str, most: int = 10) -> list[str]:
+        found: list[str] = []
+        for name, folder in self.entries(place):
+            below = f"{place.rstrip('/')}/{name}"
+            if folder:
+                found += self.search(below, text, most)
+            elif text.lower().encode() in self.get(below).lower():
+                found.append(below)
+        return found[:most]
+
     def json(self, place: str):
         return json.loads(self.get(place))
 

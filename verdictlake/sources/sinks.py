@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictlake.functions.text import csv_line
 from verdictlake.operators.gherkin import HEADER, csv_lines
 from verdictlake.operators.relational import create_if_absent, upsert
 
@@ -36,3 +37,17 @@ def write_csv(steps: DataFrame, path: str, key: str) -> None:
 def write_features(texts: DataFrame, path: str, key: str, text: str) -> None:
     """One folder a key with its feature text."""
     texts.select(F.col(key), F.col(text).alias("value")).write.partitionBy(key).text(path)
+
+
+REPORT = "AC Clause,Scenario,Status,Justification,Code Reference,Implementation Suggestion,RAG Context"
+
+
+def report_lines(rows: DataFrame) -> DataFrame:
+    """Adds `line`, a row of the traceability report, to rows of clause, scenario and verdict; what is missing is empty."""
+    return rows.withColumn("line", csv_line(*(F.col(c) for c in ("source_ac_clause", "scenario_title", "status", "justification", "code_reference", "implementation_suggestion", "context"))))
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder with all below it, through the file system that the path names; False if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

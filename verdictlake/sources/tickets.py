@@ -13,8 +13,12 @@ ISSUE = "key string, names map<string,string>, fields struct<summary:string,labe
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
-    """TICKET rows out of issue JSON files, one document a file. Broken documents have no key and are left out."""
-    raw = spark.read.text(path, wholetext=True)
+    """TICKET rows out of issue JSON files, one document a file."""
+    return tickets(spark.read.text(path, wholetext=True))
+
+
+def tickets(raw: DataFrame) -> DataFrame:
+    """TICKET rows out of issue JSON in the column `value`. Broken documents have no key and are left out."""
     issue = F.from_json("value", ISSUE)
     fields = F.from_json(F.get_json_object("value", "$.fields"), "map<string,string>")
     rows = raw.select(issue.alias("i"), fields.alias("f")).filter("i.key is not null")
@@ -45,3 +49,9 @@ def list_objects(spark: SparkSession, root: str, user: str, folder: str) -> Data
     """Stored objects of a user's folder: path below the root, and length. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{user}/{folder}")
     return found.select(F.concat(F.lit(f"{user}/{folder}/"), F.substring_index("path", f"/{user}/{folder}/", -1)).alias("path"), "length")
+
+
+def download_objects(spark: SparkSession, root: str, user: str, folder: str) -> DataFrame:
+    """The same with contents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{user}/{folder}")
+    return found.select(F.concat(F.lit(f"{user}/{folder}/"), F.substring_index("path", f"/{user}/{folder}/", -1)).alias("path"), "length", "content")

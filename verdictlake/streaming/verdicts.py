@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictlake.operators.relational import summary
 from verdictlake.schemas import EVENT
+from verdictlake.sources.sinks import remove
 
 
 def read_frames(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -48,3 +51,22 @@ def run_summary(verdicts: DataFrame, expected: int) -> DataFrame:
 def running_counts(stream: DataFrame) -> DataFrame:
     """Counts so far by status, for outputMode complete."""
     return stream.filter(F.col("type") == "verdict").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verify_stream(prompts: DataFrame, verify: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:
+    """Verifies each batch of prompts (with models that look things up, say) and writes its verdicts, whole, under its number.
+
+    A batch that fails leaves nothing behind and is tried again; those before it stay.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        verify(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cancel(spark: SparkSession, query: StreamingQuery, *folders: str) -> None:
+    """Stops a stream, if it still runs, and removes what it kept: its checkpoint, and stores nobody reads any more."""
+    query.stop()
+    for folder in folders:
+        remove(spark, folder)
