@@ -9,6 +9,7 @@ with the substrings that some piece begins with.
 For unigram models a path scores the sum of its pieces. For merge (BPE) models that sum isn't what the model means: there
 every prefix of a word has just one segmentation by merges, and a piece may follow another only if no merge would have
 crossed their border. The search keeps the paths all of whose neighbours pass, so it gives the same ids as merging does.
+Long words, such as texts without spaces, are first cut between letters that stand side by side in no piece.
 Letters without a piece become the model's byte pieces, or its unknown piece.
 
 Defined cases: null and empty texts give no ids; decoding gives the text back exactly, but for texts that hold the space
@@ -33,8 +34,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-#: Words that a task remembers.
-REMEMBERED = 300_000
+#: Words that a task remembers, and letters from which a word is first cut where no piece reaches across.
+REMEMBERED, LONG = 300_000, 16
 _BASE, _BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -49,6 +50,12 @@ _CUT = "\x01"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+def _pairs(text: str) -> np.ndarray:
+    """Each letter with the next one, as a number."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    return points[:-1] << 21 | points[1:]
+
+
 class Vocabulary:
     """A model's pieces, small enough to broadcast (tens of bytes a piece)."""
 
@@ -81,6 +88,8 @@ class Vocabulary:
                 self.bytes_[int(pieces[i][3:5], 16)] = i
         self.unknown = kinds.index(UNKNOWN) if UNKNOWN in kinds else 0
         self.unknown_score = float(self.scores[own].min()) - 10
+        # side by side in some piece; where two letters are in none, a word falls apart
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(_pairs(pieces[i]) for i in own)]))
         self.line_end = "\n" not in "".join(pieces[i] for i in own)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else (b" \xe2\x81\x87 " if k == UNKNOWN else b"") for p, k in zip(pieces, kinds, strict=True)]
         self.raw_sizes, self.raw_bytes = np.array([len(r) for r in self.raw], np.int64), np.frombuffer(b"".join(self.raw), np.uint8)
@@ -88,6 +97,15 @@ class Vocabulary:
         if algorithm == BPE:
             self._merges(own)
 
+    def parts(self, word: str) -> list[str]:
+        """The parts of a word that no piece reaches across, so that each is encoded on its own. Models that join unknown letters get it whole."""
+        if not (self.bytes_ >= 0).all():
+            return [word]
+        pairs = _pairs(word)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        cuts = [0, *(np.flatnonzero(self.pairs[at] != pairs) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -285,6 +303,19 @@ class Encoder:
         return np.array(out, "<i4").tobytes()
 
     def _learn(self, words: Iterable[str]) -> None:
+        alone, made = set(), {}
+        for w in words:
+            parts = self.v.parts(w) if len(w) > LONG and len(self.v.pairs) else [w]
+            if len(parts) > 1:
+                made[w] = parts
+                alone.update(p for p in parts if p not in self.words)
+            else:
+                alone.add(w)
+        self._search(alone)
+        for w, parts in made.items():
+            self.words[w] = b"".join(self.words[p] for p in parts)
+
+    def _search(self, words: Iterable[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w) if len(w) <= 32 else -(-len(w) // 32) * 32, []).append(w)
@@ -360,7 +391,7 @@ class Encoder:
         return text[1:] if self.v.dummy_prefix and text[:1] == " " else text
 
 
-def _batches(whole: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _batches(whole: pa.RecordBatch, column: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()
     at = 0
