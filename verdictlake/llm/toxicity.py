@@ -17,6 +17,7 @@ no labels every score is 0; repeated rows each get their score; extra columns ar
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections import Counter
@@ -52,16 +53,14 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples by term, from arrays of ids, labels, and each example's terms and their counts."""
-
-    def __init__(self, ids: list[str], labels: np.ndarray, terms: list[list[str]], counts: list[list[int]]):
-        n, sizes = len(ids), np.array([len(t) for t in terms], np.int64)
-        flat = pa.array([t for own in terms for t in own], pa.string())
-        names = pc.unique(flat).sort()
-        self.names = names.to_pylist()
-        self.terms = {t: k for k, t in enumerate(self.names)}
+    """Labelled examples by term, from columns of ids, labels, and each example's terms and their counts. Terms stay in Arrow until a task needs them."""
+
+    def __init__(self, ids: list[str], labels: np.ndarray, terms: pa.ListArray, counts: pa.ListArray):
+        n, flat = len(ids), terms.flatten()
+        sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.names = names = pc.unique(flat).sort()
         term = pc.index_in(flat, names).to_numpy(zero_copy_only=False).astype(np.int64)
-        count = np.array([c for own in counts for c in own], float)
+        count = counts.flatten().to_numpy(zero_copy_only=False).astype(float)
         row = np.repeat(np.arange(n), sizes)
         df, toxic = np.bincount(term, minlength=len(names)), np.bincount(term, labels[row], len(names))
         self.prior = float(labels.mean()) if n else 0.0
@@ -105,6 +104,13 @@ class Index:
         self.term_entry = np.searchsorted(key[self.entry[:-1]] // max(1, self.blocks), np.arange(len(names) + 1))
         self.knots, self.levels = np.zeros(1), np.full(1, self.prior)
 
+    @functools.cached_property
+    def terms(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(self.names.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "terms"}
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and their weights, of length 1."""
         found = Counter(words(text))
@@ -178,7 +184,7 @@ class Index:
                 continue
             most = dims[np.argsort(-weights, kind="stable")[:5]]
             level = float(np.interp(self.vote(rows, cosines), self.knots, self.levels))
-            out.append((level, [*(self.names[t] for t in most.tolist()), *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]))
+            out.append((level, [*(self.names[t].as_py() for t in most.tolist()), *(f"#{self.ids[r]}:{c:.4f}:{int(self.labels[r])}" for r, c in zip(rows[:3].tolist(), cosines, strict=False))]))
         return out
 
 
@@ -203,8 +209,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
             found = [sorted(Counter(words(t.as_py())).items()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], ["id", "label", "terms", "n"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(counted, "id string, label double, terms array<string>, n array<long>").collect()))
-    index = Index([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
+    rows = sample.mapInArrow(counted, "id string, label double, terms array<string>, n array<long>").toArrow()
+    order = sorted(range(len(rows)), key=lambda k, ids=rows.column("id").to_pylist(), labels=rows.column("label").to_pylist(): (ids[k], labels[k], k))
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
+    whole = lambda name: rows.column(name).combine_chunks() if len(rows) else pa.array([], rows.schema.field(name).type)
+    index = Index(rows.column("id").to_pylist(), rows.column("label").to_numpy().astype(float), whole("terms"), whole("n"))
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
