@@ -218,3 +218,25 @@ def test_languages(spark):
 
 def test_words_of_texts():
     assert toxicity.words("Scum! vile_1  É") == ["scum", "vile_1", "é"] and toxicity.words(None) == []
+
+
+def test_quality_query_against_a_walk_row_by_row(spark, tables):
+    """Every row's score from its own statistics and the trees, one node after the other."""
+    docs, labels, _ = tables
+    model = quality.learn(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for row in docs.collect():
+        x, total = quality.statistics(row.text), model.base
+        for f, c, leaf in zip(model.features, model.cuts, model.leaves, strict=True):
+            at = 0
+            for _ in range(quality.DEPTH):
+                at = 2 * at + 1 + int(x[f[at]] > c[at])
+            total += leaf[at - (2**quality.DEPTH - 1)]
+        assert abs(got[row.doc_id] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_a_hot_id_does_not_swell_the_sample(spark):
+    docs = spark.range(500).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).unionByName(spark.createDataFrame([(4, "x"), (None, "y")], DOC))
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 1), (5, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(3, 0.0), (3, 1.0), (4, 1.0)] and len({r.text for r in rows if r.doc_id == 3}) == 1

@@ -55,8 +55,10 @@ def test_links_at_exactly_eight_tenths_and_not_below(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_same_groups_as_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+@pytest.mark.parametrize("data", [DATA, DATA.replace("sf0.001", "sf0.01")])
+def test_same_groups_as_brute_force(spark, data):
+    """No pair of similarity 0.8 or more is lost, and no other document goes: the rows that stay are those of brute force."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
     got = stage(spark, docs)
     assert got.columns == docs.columns
     assert {r.doc_id for r in got.collect()} == brute({r.doc_id: r.text for r in docs.collect()})

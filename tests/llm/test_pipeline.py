@@ -1,45 +1,62 @@
 """The pipeline's stages and the queries of this package on the smallest tables."""
 
+import math
 import os
 
 import pytest
+from test_models import brute_scores
+from test_one_of_each import brute as one_of_each_brute
 
 import corpus_pipeline as C
+from verdictlake.llm import quality, sentencepiece_codec
 from verdictlake.llm import queries as Q
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-def shingles(text, n=5):
-    w = text.lower().split()
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+def walk(model, text):
+    """The quality by the trees, one node after the other."""
+    x, total = quality.statistics(text), model.base
+    for f, c, leaf in zip(model.features, model.cuts, model.leaves, strict=True):
+        at = 0
+        for _ in range(quality.DEPTH):
+            at = 2 * at + 1 + int(x[f[at]] > c[at])
+        total += leaf[at - (2**quality.DEPTH - 1)]
+    return 1 / (1 + math.exp(-total))
 
 
-def test_stages_in_order(spark, tmp_path):
+def test_stages_in_order_against_brute_force(spark, tmp_path):
+    """Each stage's rows, worked out from its input in the plainest way."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, texts, kept = docs.columns, {r.doc_id: r.text for r in docs.collect()}, {}
+    last, before = None, set(texts)
     for name, stage in C.STAGES:
-        before = set(kept[last]) if kept else set(texts)
         stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-        kept[name] = [r.doc_id for r in docs.select("doc_id").collect()]
-        last = name
-        assert set(kept[name]) <= before and len(kept[name]) == len(set(kept[name]))
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        kept[name] = set(ids)
+        assert kept[name] <= before and len(ids) == len(kept[name])
         if name != C.STAGES[-1][0]:
             assert docs.columns == columns
+        last, before = name, kept[name]
+    assert last == "pieces" and len(kept["quality"]) > 0.7 * len(texts)
+    trees = Q.quality_model(spark, DATA)
+    assert kept["quality"] == {k for k, t in texts.items() if walk(trees, t) >= 0.5}
     labels = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    assert all(labels[k].quality for k in kept["quality"] if k in labels) and len(kept["quality"]) > 0.7 * len(texts)
-    # near-duplicates by exact shingle similarity: the sure ones go, what is like nothing else stays
-    before, after = kept["toxicity"], set(kept["near_duplicates"])
-    sets = {k: shingles(texts[k]) for k in before}
-    best = {k: max((len(sets[k] & sets[j]) / len(sets[k] | sets[j]) for j in before if j < k), default=0) for k in before}
-    assert all(k not in after for k, s in best.items() if s >= 0.95)
-    alone = {k: max((len(sets[k] & sets[j]) / len(sets[k] | sets[j]) for j in before if j != k), default=0) for k in before}
-    assert all(k in after for k, s in alone.items() if s < 0.4)
+    assert all(labels[k].quality for k in kept["quality"] if k in labels)
+    index = Q.toxicity_index(spark, DATA)
+    examples = [(i, float(labels[int(i)].toxic), texts[int(i)]) for i in sorted(index.ids)]
+    wanted = sorted(kept["quality"])
+    scores = brute_scores(index, [texts[k] for k in wanted], examples)
+    assert kept["toxicity"] == {k for k, s in zip(wanted, scores, strict=True) if s[0] < 0.3}
+    assert kept["near_duplicates"] == one_of_each_brute({k: texts[k] or "" for k in kept["toxicity"]})
     leaks = {r.doc_id for r in Q.op1_decontamination(spark, DATA).collect()}
-    assert set(kept["decontamination"]) == set(kept["near_duplicates"]) - leaks
-    assert set(kept["pieces"]) == set(kept["decontamination"]) and docs.filter("not exact").count() == 0
+    assert kept["decontamination"] == kept["near_duplicates"] - leaks
+    assert kept["pieces"] == kept["decontamination"]
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    for r in docs.collect():
+        assert r.exact and list(r.ids) == library.encode(texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
 
 
 def test_run_gives_what_the_stages_give(spark):

@@ -33,6 +33,22 @@ def test_ids_are_the_library_s(spark):
     assert [i.tolist() for i in encoder.encode(texts)] == want
 
 
+@needs_model
+def test_texts_without_spaces(spark):
+    """Long words: the library's ids, and in no time that grows with a step a letter."""
+    import time
+
+    import sentencepiece
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(8000)), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(8000)), "".join(rng.choice("日本語のテキスト。") for _ in range(3000)), "-" * 300 + "x" * 50]
+    encoder = P.Encoder(P.Vocabulary.load())
+    start = time.time()
+    got = [i.tolist() for i in encoder.encode(texts)]
+    assert time.time() - start < 8
+    assert got == sentencepiece.SentencePieceProcessor(model_file=P.MODEL).encode(texts)
+
+
 @needs_model
 def test_unigram_ids_are_the_library_s(tmp_path):
     """The same pieces as a unigram model: the sum of scores decides."""

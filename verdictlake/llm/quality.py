@@ -111,9 +111,13 @@ class Trees:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, bound: int) -> DataFrame:
-    """doc_id, text and label of at most `bound` labelled rows, by hash of the id; the ids are broadcast, so texts stay in place."""
+    """doc_id, text and label of at most `bound` labelled rows, by hash of the id; the ids are broadcast, so other texts stay in place.
+
+    An id on several documents gives the text that sorts first by its hash, so that a hot id doesn't swell the sample.
+    """
     chosen = labels.filter(usable & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality") -> Trees:
