@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictlake.llm import common, decontamination, quality, queries, sentencepiece_codec, simhash, toxicity
+from verdictlake.sources.sinks import remove
 
 #: Near-duplicates: texts that share 80 % of their sets of five-word shingles. Candidates come from 192-bit fingerprints, in
 #: which such texts differ by 29 bits on average (their standard deviation is 5): all up to 35, from probes in all three words,
@@ -59,13 +60,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; the steps in between are Parquet in the folder that all executors share.
 
-    They stay there, as the returned rows are read from the last of them: remove the folder once the result is written.
+    Each step goes once the next one is written; the last one stays, as the returned rows are read from it.
     """
     folder = os.path.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
+    old = None
     for name, stage in before:
         path = os.path.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old is not None:
+            remove(spark, old)
+        old = path
     return last(spark, docs, sf_dir)
