@@ -31,8 +31,16 @@ def _smallest(pairs: DataFrame, total: int) -> DataFrame:
     return with_groups(pairs, "u", total, F.col("v"), low=F.min("v")).withColumn("low", F.least("u", "low"))
 
 
+def _both(first: tuple[str, str], second: tuple[str, str]) -> Column:
+    """Two links out of a row, as rows u, v."""
+    return F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (first, second))))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """From links (u, v) of any sortable type: node and root, the smallest node of its component. Nodes without a link are left out."""
+    """From links (u, v) of any sortable type: node and root, the smallest node of its component. Nodes without a link are left out.
+
+    Each half of a round is kept, so that plans stay small, however many rounds there are.
+    """
     now = durable(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
@@ -40,9 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(found) == mark:
             break
         mark, total = tuple(found), 2 * found[0]
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest(both, total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        small = _smallest(large, total)
-        small = small.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v")))
-        now = durable(small.filter(F.col("u") != F.col("v")).distinct())
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        large = _smallest(now.select(_both(("u", "v"), ("v", "u"))), total).filter(F.col("v") > F.col("u"))
+        large = durable(large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        now = durable(_smallest(large, total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v")).distinct())
+    return now.select(_both(("u", "v"), ("v", "v"))).select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()

@@ -134,7 +134,7 @@ def _values(prints: np.ndarray, groups: list[list[int]]) -> np.ndarray:
 
 
 def within(histogram: np.ndarray, radius: int) -> np.ndarray:
-    """For radius 0, 1, ...: how many members are within it of each value; (PARTS, radius + 1, 65536)."""
+    """For radius 0, 1, ...: how many members are within it of each value; (partitions, radius + 1, 65536)."""
     at = np.zeros((len(histogram), radius + 1, histogram.shape[1]), np.int64)
     at[:, 0] = histogram
     values = np.arange(histogram.shape[1])
@@ -149,9 +149,12 @@ THRESHOLDS = (-1, 0, 2, 4, 6)
 
 def allocate(histogram: np.ndarray, distance: int) -> list[int]:
     """Thresholds of the partitions, of least cost by dynamic programming; a row for a bucket costs as much as 200 pairs."""
-    near, total = within(histogram, max(THRESHOLDS)), int(histogram[0].sum())
+    total = int(histogram[0].sum())
     balls = np.cumsum([1.0, 16, 120, 560])
-    cost = [[0.0 if t < 0 else float((histogram[p].astype(float) * near[p, t]).sum()) / 2 + 200.0 * total * balls[t // 2] for t in THRESHOLDS] for p in range(len(histogram))]
+    cost = []
+    for own in histogram:  # one partition at a time, as the counts of all take much memory
+        near = within(own[None], max(THRESHOLDS))[0]
+        cost.append([0.0 if t < 0 else float((own.astype(float) * near[t]).sum()) / 2 + 200.0 * total * balls[t // 2] for t in THRESHOLDS])
     need = distance + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for p in range(len(histogram)):
@@ -219,11 +222,10 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
     histogram[counts.column("k").to_numpy()] = counts.column("n").to_numpy()
     histogram = histogram.reshape(parts, 1 << WIDTH)
     thresholds = [t for w in range(probes) for t in allocate(histogram[w * PARTS : (w + 1) * PARTS], probe)]
-    members = within(histogram, max(THRESHOLDS) // 2)
     #: how many blocks each bucket has
-    blocks = np.stack([-(-members[p, max(0, t) // 2] // BLOCK) for p, t in enumerate(thresholds)]).clip(1)
+    blocks = [(-(-within(histogram[p : p + 1], max(0, t) // 2)[0, -1] // BLOCK)).clip(1) for p, t in enumerate(thresholds)]
     flips = [np.array([sum(1 << b for b in c) for r in range(t // 2 + 1) for c in itertools.combinations(range(WIDTH), r)], np.int64) if t >= 0 else np.array([], np.int64) for t in thresholds]
-    cut = nodes.sparkSession.sparkContext.broadcast((groups, flips, {p: {int(v): int(blocks[p, v]) for v in np.flatnonzero(blocks[p] > 1)} for p in range(parts)}))
+    cut = nodes.sparkSession.sparkContext.broadcast((groups, flips, {p: {int(v): int(blocks[p][v]) for v in np.flatnonzero(blocks[p] > 1)} for p in range(parts)}))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, flips, large = cut.value
