@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import durable
+from verdictlake.llm.common import durable, tidy
 
 #: Rows of a key from which it is dealt to several tasks, and the share of all rows from which it is: at most PARTS keys are.
 MANY, PARTS = 100, 1000
@@ -48,6 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(found) == mark:
             break
         mark, total = tuple(found), 2 * found[0]
+        tidy(edges.sparkSession)
         large = _smallest(now.select(_both(("u", "v"), ("v", "u"))), total).filter(F.col("v") > F.col("u"))
         large = durable(large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
         now = durable(_smallest(large, total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v")).distinct())

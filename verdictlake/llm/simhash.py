@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, row_key, without_keys
+from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, row_key, tidy, without_keys
 from verdictlake.llm.graph import components, with_groups
 
 #: Partitions of a word, and their bits.
@@ -408,7 +408,9 @@ def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance:
     sets = durable(prints.groupBy("sid", "fp").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
     roots = durable(components(links(sets.select("fp").distinct(), distance, words, probe_distance, probes, any_part=True)))
     placed = durable(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"), "sid").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
+    tidy(df.sparkSession)
     linked = durable(components(verified(placed, source, shingle, percent)))
+    tidy(df.sparkSession)
     grouped = durable(prints.select("row_key", "doc_id", "sid").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("row_key", "doc_id", F.coalesce("root", "sid").alias("of")))
     first = with_groups(grouped, "of", grouped.count(), F.col("row_key"), first=F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")))
     gone = durable(first.filter(F.col("row_key") != F.col("first.row_key")).select("row_key").distinct())
