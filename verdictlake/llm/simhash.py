@@ -169,13 +169,11 @@ def allocate(histogram: np.ndarray, distance: int) -> list[int]:
 
 
 def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join the members of each bucket that are within the distance; keys are sorted. No more links than members.
+    """Links (positions) from the first of each group of a bucket's members that pairs within the distance join to its others; keys are sorted.
 
     Members of a bucket are first compared in the word that it was probed by, unless `probe` allows all of its bits to differ.
     """
     n, parent, first = len(keys), np.arange(len(keys)), prints[np.arange(len(keys)), keys >> (40 + WIDTH) >> 2]
-    left: list[int] = []
-    right: list[int] = []
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -198,12 +196,13 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> t
             x, y = find(a), find(a + d)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                left.append(a)
-                right.append(a + d)
         if len(linked):
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
-    return np.array(left, np.int64), np.array(right, np.int64)
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    right = np.flatnonzero(parent != np.arange(n))
+    return parent[right], right
 
 
 def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None, probes: int = 1, any_part: bool = False) -> DataFrame:
