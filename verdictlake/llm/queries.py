@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm import collocations, decontamination, html_extraction, langid, licenses, media, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filters
+from verdictlake.llm import collocations, decontamination, divergence, html_extraction, langid, licenses, media, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filters
 from verdictlake.llm.common import fold
 
 MIB = 1 << 20
@@ -95,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_language": op9_language,
     "op10_media": op10_media,
+    "op11_divergence": divergence.query,
     "op12_url_filter": url_filters.query,
     "op13_collocations": collocations.query,
     "sharding_fine": sharding_fine,
@@ -104,6 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_license_scan": licenses.oracle(),
     "op3_sharding": sharding.oracle(64 * MIB),
+    "op11_divergence": divergence.ORACLE,
     "op12_url_filter": url_filters.oracle(),
     "op13_collocations": collocations.ORACLE,
     "sharding_fine": sharding.oracle(MIB // 16),
