@@ -127,8 +127,8 @@ def test_shares_are_exact_for_large_counts():
 def test_ids_of_terms_long_and_short():
     known = sorted(x.encode() for x in ["a", "ab", "b" * 32, "b" * 33, "b" * 34, "é", "日本"])
     looked = [*known[::-1], b"", b"b" * 31, b"b" * 35, "zz".encode()]
-    assert D.ids(known, looked).tolist() == [*range(len(known))][::-1] + [-1] * 4
-    assert D.ids([], [b"a"]).tolist() == [-1]
+    assert D.ids(known, D.table(known), pa.array(looked, pa.binary())).tolist() == [*range(len(known))][::-1] + [-1] * 4
+    assert D.ids([], D.table([]), pa.array([b"a"], pa.binary())).tolist() == [-1]
 
 
 # --- collocations

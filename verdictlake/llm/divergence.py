@@ -110,20 +110,25 @@ def _sent(lang: str, sources: pa.Array, c: terms.Codes, firsts: list[bytes]) ->
     return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(starts)), pa.array(chunk[starts].astype(np.int32)), names.take(pa.array(of[starts])), lines.cast(pa.string()), counts], names=["lang", "chunk", "source", "terms", "n"])
 
 
-def ids(known: list[bytes], looked: list[bytes]) -> np.ndarray:
-    """The places of terms in a sorted array; -1 for those that aren't there."""
-    if not known or not looked:
-        return np.full(len(looked), -1, np.int64)
+def table(known: list[bytes]) -> np.ndarray:
+    """A sorted array of terms, cut to one width."""
+    return np.array(known, f"S{WIDTH + 1}") if known else np.empty(0, f"S{WIDTH + 1}")
+
+
+def ids(known: list[bytes], cut: np.ndarray, looked: pa.Array) -> np.ndarray:
+    """The places of terms in a sorted array; -1 for those that aren't there. cut: table(known)."""
     found = np.full(len(looked), -1, np.int64)
-    short = np.fromiter((len(x) <= WIDTH for x in looked), bool, len(looked))
-    table = np.array([x[: WIDTH + 1] for x in known], f"S{WIDTH + 1}")
-    asked = np.array([x if len(x) <= WIDTH else b"" for x in looked], f"S{WIDTH + 1}")
-    at = np.minimum(np.searchsorted(table, asked), len(known) - 1)
-    hit = short & (table[at] == asked)
+    if not known or not len(looked):
+        return found
+    words = looked.to_pylist()
+    asked = np.array(words, cut.dtype)
+    short = pc.binary_length(looked).to_numpy(zero_copy_only=False) <= WIDTH
+    at = np.minimum(np.searchsorted(cut, asked), len(known) - 1)
+    hit = short & (cut[at] == asked)
     found[hit] = at[hit]
     for k in np.flatnonzero(~short):
-        place = bisect_left(known, looked[k])
-        if place < len(known) and known[place] == looked[k]:
+        place = bisect_left(known, words[k])
+        if place < len(known) and known[place] == words[k]:
             found[k] = place
     return found
 
@@ -139,32 +144,46 @@ def count_cells(docs: DataFrame, chunks: DataFrame, firsts: dict[str, list[bytes
                     yield sent
 
     def add(batches):
-        key, known, total = None, [], None
+        chunk, known, cut = None, [], table([])
+        source, total = None, np.empty(0, np.int64)  # the source whose rows may go on in the next batch
 
         def taken():
             some = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.string()), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[some]], pa.list_(pa.int64()))], names=["lang", "chunk", "source", "ids", "n"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[0]], pa.string()), pa.array([chunk[1]], pa.int32()), pa.array([source], pa.string()), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[some]], pa.list_(pa.int64()))], names=["lang", "chunk", "source", "ids", "n"])
 
         for batch in batches:
-            lists = batch.column("n")
-            counts, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            rows = zip(batch.column("lang").to_pylist(), batch.column("chunk").to_pylist(), batch.column("source").to_pylist(), strict=True)
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+            sources = batch.column("source").to_pylist()
             texts = batch.column("terms").cast(pa.binary())
-            for k, now in enumerate(rows):
-                if now != key:
-                    if total is not None and total.any():
-                        yield taken()
-                    key, total = now, None
-                if now[2] is None:  # the chunk's own row comes first
-                    known = texts[k].as_py().split(b"\n")
+            counts, offsets = batch.column("n").values.to_numpy(zero_copy_only=False), batch.column("n").offsets.to_numpy()
+            at = 0
+            while at < len(keys):
+                if keys[at] != chunk:
+                    yield from taken()
+                    chunk, source, total = keys[at], None, np.empty(0, np.int64)
+                if sources[at] is None:  # the chunk's own row comes first
+                    known = texts[at].as_py().split(b"\n")
+                    cut = table(known)
+                    at += 1
                     continue
-                place = ids(known, texts[k].as_py().split(b"\n"))
+                end = at
+                while end < len(keys) and keys[end] == chunk:
+                    end += 1
+                place = ids(known, cut, pc.list_flatten(pc.split_pattern(texts.slice(at, end - at), b"\n")))
+                row = np.repeat(np.arange(at, end), np.diff(offsets[at : end + 1]))
+                of = np.cumsum([k > at and sources[k] != sources[k - 1] for k in range(at, end)])
                 there = place >= 0
-                # sums of a slice's counts are far below 2 ** 53
-                added = np.bincount(place[there], counts[offsets[k] : offsets[k + 1]][there], len(known)).astype(np.int64)
-                total = added if total is None else total + added
-        if total is not None and total.any():
-            yield taken()
+                # sums of a batch's counts are far below 2 ** 53
+                sums = np.bincount((of[row - at] * len(known) + place)[there], counts[offsets[at] : offsets[end]][there], (int(of[-1]) + 1) * len(known)).astype(np.int64).reshape(-1, len(known))
+                for k, name in enumerate(dict.fromkeys(sources[at:end])):
+                    if name != source:
+                        yield from taken()
+                        source, total = name, sums[k]
+                    else:
+                        total = total + sums[k]
+                at = end
+        yield from taken()
 
     sent = docs.mapInArrow(send, "lang string, chunk int, source string, terms string, n array<long>")
     words = chunks.select("lang", "chunk", F.lit(None).cast("string").alias("source"), F.array_join("terms", "\n").alias("terms"), F.array().cast("array<bigint>").alias("n"))
