@@ -71,10 +71,11 @@ _ISSUE = """case o_orderkey % 5 when 4 then '{"key": "broken' else '{"key":"KAN-
 
 
 @query("issue_tickets", f"""select 'KAN-' || o_orderkey ticket_id, 'Order ' || o_custkey || ' of a kind' summary, case o_orderkey % 5 when 1 then 'plain ' || o_custkey when 2 then '  text ' || o_custkey || '  ' else '' end description,
-case when o_orderkey % 5 = 0 then 'Given a order ' || o_custkey else 'it must wait' end acceptance_criteria, o_orderstatus labels, 'OUT-1,IN-' || o_custkey linked_issues from orders where o_orderkey % 5 <> 4""")
+case when o_orderkey % 5 = 0 then 'Given a order ' || o_custkey else 'it must wait' end acceptance_criteria, o_orderstatus labels, 'OUT-1,IN-' || o_custkey linked_issues from orders, range(1, 2 + (o_orderkey % 10 = 1)::int + (o_orderkey % 10 = 1)::int) where o_orderkey % 5 <> 4""")
 def issue_tickets(spark: SparkSession, d: str) -> DataFrame:
-    """Tickets out of issue documents; broken ones are left out."""
-    raw = table(spark, d, "orders").select(F.expr(_ISSUE).alias("value"))
+    """Tickets out of issue documents; broken ones are left out, and one of ten is stored three times."""
+    copies = F.explode(F.when(F.col("o_orderkey") % 10 == 1, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1))))
+    raw = table(spark, d, "orders").select(F.expr(_ISSUE).alias("value"), copies.alias("copy"))
     return tickets.tickets(raw).select("ticket_id", "summary", "description", "acceptance_criteria", F.array_join("labels", ",").alias("labels"), F.array_join("linked_issues", ",").alias("linked_issues"))
 
 

@@ -47,6 +47,12 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", csv_line(*(F.col(c) for c in ("source_ac_clause", "scenario_title", "status", "justification", "code_reference", "implementation_suggestion", "context"))))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Deletes a folder with all below it, through the file system that the path names; False if it isn't there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

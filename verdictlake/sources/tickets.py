@@ -17,25 +17,37 @@ def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     return tickets(spark.read.text(path, wholetext=True))
 
 
-def tickets(raw: DataFrame) -> DataFrame:
-    """TICKET rows out of issue JSON in the column `value`. Broken documents have no key and are left out."""
+def tickets(raw: DataFrame, *keep: str) -> DataFrame:
+    """TICKET rows out of issue JSON in the column `value`, and the columns to keep. Broken documents have no key and are left out.
+
+    Every document is one row: its own fields are looked through where it is, so nothing is shuffled and a document that is stored
+    twice gives two tickets.
+    """
     issue = F.from_json("value", ISSUE)
     fields = F.from_json(F.get_json_object("value", "$.fields"), "map<string,string>")
-    rows = raw.select(issue.alias("i"), fields.alias("f")).filter("i.key is not null")
-    each = rows.select(F.col("i.key").alias("ticket_id"), F.col("i.names").alias("names"), F.posexplode(F.map_entries("f")).alias("pos", "e"))
-    # strings come bare out of the map, documents and lists as JSON
-    value = F.when(strip(F.col("e.value")).rlike(r"^[\[{]"), K.field_text("e.value")).otherwise(F.col("e.value"))
-    named = each.select("ticket_id", "pos", F.col("e.key").alias("key"), F.coalesce(F.try_element_at("names", "e.key"), F.col("e.key")).alias("label"), value.alias("value"))
-    best = K.best_field(named)
-    text = named.filter(F.col("key") == "description").select("ticket_id", F.col("value").alias("description"))
-    joined = rows.select(F.col("i.key").alias("ticket_id"), F.coalesce("i.fields.summary", F.lit("")).alias("summary"), F.coalesce("i.fields.labels", F.array()).alias("labels"), F.coalesce(K.linked_keys(F.col("i.fields.issuelinks")), F.array()).alias("linked_issues"))
-    joined = joined.join(text, "ticket_id", "left").join(best, "ticket_id", "left")
-    return joined.select("ticket_id", "summary", F.coalesce("description", F.lit("")).alias("description"), K.cascade(F.col("ac"), F.col("description"), F.col("summary")).alias("acceptance_criteria"), "labels", "linked_issues")
+    rows = raw.select(*(F.col(c).alias(f"_keep_{c}") for c in keep), issue.alias("i"), F.map_entries(fields).alias("f")).filter("i.key is not null")
+    # strings come bare out of the map, documents and lists as JSON, which only Python can walk
+    nested = F.transform("f", lambda e: F.when(strip(e["value"]).rlike(r"^[\[{]"), e["value"]))
+    rows = rows.withColumn("texts", K.field_texts(nested))
+    value = lambda e, k: F.coalesce(F.get("texts", k), e["value"])
+    rows = rows.withColumn("each", F.transform("f", lambda e, k: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at("i.names", e["key"]), e["key"]).alias("label"), value(e, k).alias("value"))))
+    description = F.get(F.filter("each", lambda e: e["key"] == "description"), F.lit(0))["value"]
+    rows = rows.withColumns({"ac": K.best_of("each"), "description": description})
+    return rows.select(
+        F.col("i.key").alias("ticket_id"),
+        F.coalesce("i.fields.summary", F.lit("")).alias("summary"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        K.cascade(F.col("ac"), F.col("description"), F.coalesce("i.fields.summary", F.lit(""))).alias("acceptance_criteria"),
+        F.coalesce("i.fields.labels", F.array()).alias("labels"),
+        F.coalesce(K.linked_keys(F.col("i.fields.issuelinks")), F.array()).alias("linked_issues"),
+        *(F.col(f"_keep_{c}").alias(c) for c in keep),
+    )
 
 
 def mock_tickets(ids: DataFrame, column: str = "ticket_id") -> DataFrame:
     """A made-up ticket for every id that starts with MOCK-."""
     one = F.col(column)
+    # fixed values: the two sentences
     return ids.filter(one.startswith("MOCK-")).select(one.alias("ticket_id"), F.concat(F.lit("Mock summary for "), one).alias("summary"), F.lit("This is a mock description.").alias("description"), F.lit("Given a mock ticket, When processed, Then it works.").alias("acceptance_criteria"), F.array(F.lit("mock")).alias("labels"), F.array().cast("array<string>").alias("linked_issues"))
 
 
