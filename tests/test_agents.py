@@ -1,10 +1,15 @@
 import json
+import os
+import random
 import sys
+import uuid
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from verdictlake.functions import agents as A
+from verdictlake.functions import models as M
 from verdictlake.schemas import SCENARIO
 from verdictlake.sources import objects as O
 from verdictlake.sources.fetch import FolderFetcher
@@ -73,3 +78,34 @@ def test_objects_are_replaced_and_deleted(spark, tmp_path):
     assert (tmp_path / "u/bdd/a.feature").read_bytes() == b"two" and (tmp_path / "u/b").read_bytes() == b""
     assert all(r.problem is None for r in O.delete_objects(rows.limit(2), make).collect() + O.delete_objects(rows.limit(2), make).collect())
     assert not (tmp_path / "u/b").exists()
+
+
+class Whimsical:
+    """Answers at random, and leaves a mark for every call."""
+
+    def __init__(self, log, tools):
+        self.log, self.tools = log, tools
+
+    def _reply(self, prompt):
+        open(os.path.join(self.log, uuid.uuid4().hex), "w").close()
+        if random.random() < 0.5:
+            return "no verdict"
+        return json.dumps({"scenario_id": "00000000-0000-4000-8000-000000000000", "scenario_title": "t", "status": "fail", "justification": "j", "code_reference": {"file": None, "function": None, "line": None}, "github_links": [], "implementation_suggestion": None})
+
+    def generate(self, prompt, system):
+        return self._reply(prompt)
+
+    def step(self, messages, tools):
+        return {"text": self._reply(messages[-1]["content"])}
+
+
+@pytest.mark.parametrize("tools", [False, True])
+def test_every_scenario_is_asked_once_and_none_is_lost(spark, tmp_path, tools):
+    log = str(tmp_path)
+    prompts = spark.range(200).select(F.col("id").cast("string").alias("scenario_id"), F.lit("p").alias("prompt"))
+    make = lambda: Whimsical(log, tools)
+    found = A.agentic_verdicts(prompts, make, dict, make, F.lit("https://host/r")) if tools else M.verdicts(prompts, make)
+    rows = found.collect()
+    first = len(rows), len({r.scenario_id for r in rows}), len(os.listdir(log))
+    found.collect()  # looking again asks nobody
+    assert first[:2] == (200, 200) and 200 < first[2] < 400 and len(os.listdir(log)) == first[2]

@@ -15,6 +15,7 @@ from verdictlake.functions import verdict as D
 from verdictlake.functions.models import REASK, TOOLS, Model, ToolCalls, generate
 from verdictlake.functions.text import READ_CHARS, absolute_link
 from verdictlake.sources.fetch import Browser, FetchError, with_retry
+from verdictlake.sources.sinks import once
 
 ROUNDS = 20
 
@@ -97,7 +98,8 @@ def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_too
     """scenario_id, verdict and problem, by models that look things up first.
 
     A pass that no tool call backs fails; links that are paths become URLs of the repository. Replies that give no valid
-    verdict are asked for once more, without tools, and only those.
+    verdict are asked for once more, without tools, and only those. The first answers are kept before they are looked at, so every
+    scenario is asked once, and once more at most.
     """
     kept = prompts.select("scenario_id", "prompt", repo.alias("_repo"))
 
@@ -109,7 +111,7 @@ def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_too
         whole = F.col("verdict").withField("status", over["status"]).withField("implementation_suggestion", over["suggestion"]).withField("github_links", links)
         return found.withColumn("verdict", F.when(F.col("verdict").isNotNull(), whole)).withColumn("problem", D.problem(F.col("verdict")))
 
-    first = finished(with_tools(kept, "prompt", make, make_tools, system, rounds))
+    first = finished(once(with_tools(kept, "prompt", make, make_tools, system, rounds)))
     again = first.filter("problem is not null").select("scenario_id", F.concat(F.lit(REASK), F.coalesce("reply", F.lit(""))).alias("prompt"), "_repo", "tool_errors", "tool_successes")
-    second = finished(generate(again, "prompt", make_plain, system))
+    second = finished(once(generate(again, "prompt", make_plain, system)))
     return first.filter("problem is null").select("scenario_id", "verdict", "problem").unionByName(second.select("scenario_id", "verdict", "problem"))

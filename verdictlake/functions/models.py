@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions import verdict as D
 from verdictlake.functions.text import READ_CHARS
+from verdictlake.sources.sinks import once
 
 
 class Model(Protocol):
@@ -78,12 +79,15 @@ REASK = "Your previous reply could not be read as a verdict. Return only the cor
 
 
 def verdicts(prompts: DataFrame, make: Callable[[], Model], system: str = "") -> DataFrame:
-    """scenario_id, verdict (a struct) and problem. Replies that give no valid verdict are asked for once more, and only those."""
-    first = generate(prompts, "prompt", make, system).withColumn("j", D.read(F.col("reply")))
+    """scenario_id, verdict (a struct) and problem. Replies that give no valid verdict are asked for once more, and only those.
+
+    Answers are kept before they are looked at, so every scenario is asked once, and once more at most.
+    """
+    first = once(generate(prompts, "prompt", make, system)).withColumn("j", D.read(F.col("reply")))
     first = first.withColumn("verdict", D.parse(F.col("j"))).withColumn("problem", D.problem(F.col("verdict")))
     good = first.filter("problem is null").select("scenario_id", "verdict", "problem")
     again = first.filter("problem is not null").select("scenario_id", F.concat(F.lit(REASK), F.coalesce("reply", F.lit(""))).alias("prompt"))
-    second = generate(again, "prompt", make, system).withColumn("verdict", D.parse(D.read(F.col("reply"))))
+    second = once(generate(again, "prompt", make, system)).withColumn("verdict", D.parse(D.read(F.col("reply"))))
     return good.unionByName(second.select("scenario_id", "verdict", D.problem(F.col("verdict")).alias("problem")))
 
 

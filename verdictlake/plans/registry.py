@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from verdictlake.plans import documents, knowledge, relational, services, states, streams, texts  # noqa: E402, F401  each registers its queries
+from verdictlake.plans import documents, joins, knowledge, relational, services, states, streams, texts  # noqa: E402, F401  each registers its queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,20 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("line", csv_line(*(F.col(c) for c in ("source_ac_clause", "scenario_title", "status", "justification", "code_reference", "implementation_suggestion", "context"))))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The rows, worked out now and kept in the folder that all executors share, so that what they took to make (a model's answer) isn't made again.
+
+    The folder is that of spark.checkpoint.dir; only a local session may do without it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="once"))
+    return df.checkpoint()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
