@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from verdictlake.functions import text as X
 from verdictlake.operators import chunking as C
 from verdictlake.operators import gherkin as G
 from verdictlake.operators import relational as R
@@ -154,3 +156,21 @@ def test_cosine_top_ties_and_self(spark):
     v = spark.createDataFrame([(k, [float(k % 2), 1.0]) for k in range(6)], "vec_id long, embedding array<float>")
     got = C.cosine_top(v.filter("vec_id = 0"), v, 2).orderBy("rank").collect()
     assert [(r.vec_id, r.cosine) for r in got] == [(2, 1.0), (4, 1.0)]
+
+
+def test_long_texts_are_chunked_in_linear_time(spark):
+    counts = [3] * 200_000
+    began = time.perf_counter()
+    bounds = C.bounds_of(counts, 500, 50)
+    assert time.perf_counter() - began < 2 and len(bounds) > 1000
+    text = "One two three. " * 200_000
+    began = time.perf_counter()
+    rows = C.chunks(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").agg(F.count(F.lit(1)), F.max("n_words")).first()
+    assert time.perf_counter() - began < 30 and rows[0] > 1000 and rows[1] == 498
+
+
+def test_spaces_of_all_kinds_part_words_and_sentences(spark):
+    text = lambda x: f"One{x}two.{x}{x}Three{x}four! Five"
+    rows = spark.createDataFrame([(x, text(x)) for x in X.SPACES], "x string, t string").select("x", X.sentences(F.col("t")).alias("s"), X.word_count(F.col("t")).alias("n")).collect()
+    assert {r.x: (r.s, r.n) for r in rows} == {x: ([f"One{x}two.", f"Three{x}four!", "Five"], 5) for x in X.SPACES}
+    assert all(text(x).split() == ["One", "two.", "Three", "four!", "Five"] for x in X.SPACES)

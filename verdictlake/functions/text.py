@@ -85,12 +85,12 @@ def keywords(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Parts that end in . ! or ? before white space."""
-    return F.split(text, r"(?<=[.!?])\s+")
+    """Parts that end in . ! or ? before white space, no-break spaces and the like included."""
+    return F.split(text, "(?<=[.!?])" + SPACE + "+")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != ""))
 
 
 def object_path(*parts: Column) -> Column:

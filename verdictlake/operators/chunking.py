@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,31 +13,45 @@ from verdictlake.functions.text import sentences, word_count
 SIZE, OVERLAP = 500, 50
 
 
-def chunk_bounds(counts: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """First and last sentence (from 0) of each chunk, from the sentences' word counts.
+def bounds_of(counts: Sequence[int], size: int, overlap: int) -> list[dict[str, int]]:
+    """First and last sentence (from 0) of each chunk, from the sentences' word counts; linear in their number.
 
     A chunk closes before the sentence that would take it over `size` words. The next one starts as far back as `overlap`
-    words allow, one sentence at least. One pass over a row's own array; nothing is shuffled.
+    words allow, one sentence at least.
     """
-    ends = F.aggregate(counts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + x)))
-    state = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<first:int,last:int>>").alias("out"), ends.alias("p"))
+    out, start, words = [], 0, 0
+    for at, count in enumerate(counts):
+        if words + count > size and at > start:
+            out.append({"first": start, "last": at - 1})
+            back, words = at - 1, counts[at - 1]
+            while back > start and words + counts[back - 1] <= overlap:
+                back -= 1
+                words += counts[back]
+            start = back
+        words += count
+    return [*out, {"first": start, "last": len(counts) - 1}]
+
+
+def chunk_bounds(counts: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """The same for a column of arrays. Each step depends on the last one, and arrays that grow by built-ins are copied at every step."""
 
-    def step(a: Column, j: Column) -> Column:
-        over = (j > a["s"]) & (F.get(a["p"], j + 1) - F.get(a["p"], a["s"]) > size)
-        back = F.coalesce(F.array_min(F.filter(F.sequence(a["s"], j - 1), lambda t: F.get(a["p"], j) - F.get(a["p"], t) <= overlap)), j - 1)
-        return F.when(over, F.struct(back.alias("s"), F.concat(a["out"], F.array(F.struct(a["s"].alias("first"), (j - 1).alias("last")))).alias("out"), a["p"].alias("p"))).otherwise(a)
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for each in batches:
+            yield each.map(lambda x: bounds_of(x.tolist(), size, overlap))
 
-    last = F.size(counts) - 1
-    return F.aggregate(F.sequence(F.lit(0), last), state, step, lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("first"), last.alias("last")))))
+    return run(counts)
 
 
 def chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk (from 0), n_words, text; empty texts have none."""
+    """key, chunk (from 0), n_words, text; empty texts have none. Chunks are cut before they become rows, so no row carries a whole text."""
     parts = df.filter(F.coalesce(F.col(text), F.lit("")) != "").select(key, sentences(F.col(text)).alias("parts"))
     counted = parts.withColumn("counts", F.transform("parts", lambda x: word_count(x)))
-    rows = counted.select(key, "parts", "counts", F.posexplode(chunk_bounds(F.col("counts"), size, overlap)).alias("chunk", "b"))
-    cut = lambda c: F.slice(c, F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1)
-    return rows.select(key, F.col("chunk").cast("bigint").alias("chunk"), F.aggregate(cut("counts"), F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_words"), F.array_join(cut("parts"), " ").alias("text"))
+    bounded = counted.withColumn("bounds", chunk_bounds(F.col("counts"), size, overlap))
+    cut = lambda c, b: F.slice(c, b["first"] + 1, b["last"] - b["first"] + 1)
+    made = F.transform("bounds", lambda b: F.struct(F.aggregate(cut("counts", b), F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_words"), F.array_join(cut("parts", b), " ").alias("text")))
+    rows = bounded.select(key, F.posexplode(made).alias("chunk", "c"))
+    return rows.select(key, F.col("chunk").cast("bigint").alias("chunk"), "c.n_words", "c.text")
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
@@ -55,7 +72,6 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_i
     those are shuffled. So neither the driver nor a task holds more than a block of queries, however many there are.
     """
     import numpy as np
-    import pandas as pd
 
     kind = vectors.schema[key].dataType.simpleString()
     blocks = max(1, -(-queries.count() // BLOCK))

@@ -63,11 +63,11 @@ def sessions_without_children(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("session_id"))
 
 
-@query("create_session_if_absent", "select user_id session_id, event_type from (select user_id, min(event_type) event_type from events group by 1) where user_id not in (select o_orderkey from orders)")
+@query("create_session_if_absent", "select user_id * 7 session_id, event_type from (select user_id, min(event_type) event_type from events group by 1) where user_id * 7 not in (select o_orderkey from orders where o_orderkey % 3 > 0)")
 def create_session_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that uploads name and that don't exist yet."""
-    wanted = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min("event_type").alias("event_type"))
-    return R.create_if_absent(table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id")), wanted, "session_id")
+    wanted = table(spark, d, "events").groupBy((F.col("user_id") * 7).alias("session_id")).agg(F.min("event_type").alias("event_type"))
+    return R.create_if_absent(table(spark, d, "orders").filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("session_id")), wanted, "session_id")
 
 
 @query("owner_access_code", "select l_orderkey + l_linenumber session_id, l_suppkey user_id, case when o_orderkey is null then 404 when o_custkey <> l_suppkey then 403 else 200 end code from lineitem left join orders on o_orderkey = l_orderkey + l_linenumber")
