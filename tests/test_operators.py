@@ -174,3 +174,28 @@ def test_spaces_of_all_kinds_part_words_and_sentences(spark):
     rows = spark.createDataFrame([(x, text(x)) for x in X.SPACES], "x string, t string").select("x", X.sentences(F.col("t")).alias("s"), X.word_count(F.col("t")).alias("n")).collect()
     assert {r.x: (r.s, r.n) for r in rows} == {x: ([f"One{x}two.", f"Three{x}four!", "Five"], 5) for x in X.SPACES}
     assert all(text(x).split() == ["One", "two.", "Three", "four!", "Five"] for x in X.SPACES)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 60])
+def test_endings_are_found_across_parts(spark, parts):
+    rng = random.Random(parts)
+    word = lambda n: "".join(rng.choices("ab/é", k=rng.randint(0, n)))
+    files = [(k, word(6) if k % 3 else word(14), f"u{k}" if k % 7 else None) for k in range(150)] + [(200, None, "u")]
+    links = [word(8) for _ in range(150)] + ["", "b", None, "https://x/b"]
+    url_map, place = {}, {}
+    for pos, path, url in files:
+        if url and path is not None:
+            place.setdefault(path, pos)
+            url_map[path] = url
+    ordered = sorted(url_map.items(), key=lambda x: place[x[0]])
+    want = [x if x is None or x.startswith("http") else url_map.get(x) or next((u for p, u in ordered if p.endswith(x) or x.endswith(p)), x) for x in links]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = V.resolve_links(spark.createDataFrame(list(enumerate(links)), "link_id int, link string"), spark.createDataFrame(files, "pos int, path string, github_url string"))
+        assert [r.url for r in sorted(got.collect(), key=lambda r: r.link_id)] == want
+        assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlake.functions.text import PROMPT_CHARS, SAMPLE_CHARS, keywords
+from verdictlake.sources.sinks import once
 
 TOP = 6
 #: Distinct (keyword, scenario) pairs that may be broadcast; more scenarios are taken in blocks.
@@ -101,17 +103,81 @@ def prompts(scenarios: DataFrame, files: DataFrame, chosen: DataFrame) -> DataFr
     return scenarios.join(code, "scenario_id", "left").select("scenario_id", F.concat(head, F.coalesce(F.concat(F.lit("\n"), F.col("code")), F.lit(""))).alias("prompt"))
 
 
+def _matches(rows: Iterable[tuple], before: list[tuple]) -> Iterator[tuple[str, bool, int, str]]:
+    """link, whether the match is inexact, pos and URL of the best files that a link is a beginning of or that are one of it.
+
+    rows: (reversed text, whether it is a link, pos, URL) in order of text, files first. before: the texts of earlier parts with which
+    the first one begins, shortest first. In order, the texts with which one begins are those on a stack: each text is
+    put on it and taken off once. What a file adds to the links it begins with goes to the last of them, and on when that is taken off.
+    """
+    files: list[tuple[str, tuple, tuple]] = []  # text, the best of it and those below, itself
+    links: list[list] = []  # text, the best file that begins with it
+
+    def close() -> Iterator[tuple]:
+        text, best = links.pop()
+        if best:
+            yield text, True, *best
+            if links:
+                links[-1][1] = min(best, links[-1][1] or best)
+
+    for here, part in ((False, before), (True, rows)):
+        for text, is_link, pos, url in part:
+            while files and not text.startswith(files[-1][0]):
+                files.pop()
+            while links and not text.startswith(links[-1][0]):
+                yield from close()
+            if is_link:
+                if files and here:
+                    exact = files[-1][0] == text
+                    yield text, not exact, *files[-1][2 if exact else 1]
+                links.append([text, None])
+            else:
+                own = (pos, url)
+                files.append((text, min(own, files[-1][1]) if files else own, own))
+                if links and here:
+                    links[-1][1] = min(own, links[-1][1] or own)
+    while links:
+        yield from close()
+
+
+def suffix_matches(links: DataFrame, files: DataFrame) -> DataFrame:
+    """From distinct links (link) and files (path, pos, github_url): link and found, the URL of the file that is the link, else of the
+    first file that ends with the link or with which the link ends. Links without any are left out.
+
+    Reversed, an ending is a beginning, and texts with the same beginning follow each other in sort order. So all texts are
+    sorted into parts by range, and a part is gone through once; what it must know of the parts before it are the texts that its first
+    one begins with, no more than that one is long. Rows shuffled are twice the links and files, whatever they end with.
+    """
+    both = files.select(F.reverse("path").alias("text"), F.lit(False).alias("is_link"), "pos", "github_url")
+    both = both.unionByName(links.select(F.reverse("link").alias("text"), F.lit(True).alias("is_link")), allowMissingColumns=True)
+    rows = once(both.repartitionByRange("text").withColumn("part", F.spark_partition_id()))
+    firsts = rows.groupBy("part").agg(F.min("text").alias("first"))  # a row for each part
+    begins = firsts.select(F.col("part").alias("of"), F.explode(F.transform(F.sequence(F.lit(0), F.length("first")), lambda n: F.left("first", n))).alias("text"))
+    before: dict[int, list[tuple]] = {}
+    for of, *row in rows.join(F.broadcast(begins), "text").filter(F.col("part") < F.col("of")).select("of", "text", "is_link", "pos", "github_url").collect():
+        before.setdefault(of, []).append(tuple(row))
+    for own in before.values():
+        own.sort(key=lambda r: (len(r[0]), r[1]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = ((row[0], row[1:]) for pdf in batches for row in zip(pdf["part"].tolist(), pdf["text"], pdf["is_link"].tolist(), pdf["pos"].tolist(), pdf["github_url"], strict=True))
+        for part, own in itertools.groupby(each, key=lambda x: x[0]):
+            found = _matches((row for _, row in own), before.get(part, []))
+            while some := list(itertools.islice(found, 10_000)):
+                yield pd.DataFrame(some, columns=["text", "inexact", "pos", "url"])
+
+    kind = files.schema["pos"].dataType.simpleString()
+    dealt = rows.repartition("part").sortWithinPartitions("part", "text", "is_link")
+    best = dealt.mapInPandas(run, f"text string, inexact boolean, pos {kind}, url string").groupBy("text").agg(F.min_by("url", F.struct("inexact", "pos")).alias("found"))
+    return best.select(F.reverse("text").alias("link"), "found")
+
+
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """links (link_id, link) with `url`: URLs stay; else the file with that path; else the first whose path ends with the link
     or with whose path the link ends; else the link. Files without a URL don't count; of equal paths the first place and the
-    last URL do. Both endings are equality joins on suffixes of the lengths that occur, not a comparison of all pairs.
+    last URL do.
     """
-    usable = files.filter(F.coalesce("github_url", F.lit("")) != "").groupBy("path").agg(F.min("pos").alias("pos"), F.max_by("github_url", "pos").alias("github_url"))
+    usable = files.filter(F.coalesce("github_url", F.lit("")) != "").groupBy("path").agg(F.min("pos").alias("pos"), F.max_by("github_url", "pos").alias("github_url")).filter("path is not null")
     absolute = F.col("link").startswith("http://") | F.col("link").startswith("https://")
-    open_ = links.filter(~absolute).select("link").distinct()
-    lengths = lambda df, c: df.select(F.length(c).alias("n")).distinct().agg(F.collect_set("n").alias("ns"))
-    suffixes = lambda df, c, ns: df.crossJoin(F.broadcast(ns)).withColumn("n", F.explode(F.filter("ns", lambda n: n <= F.length(c)))).withColumn("suffix", F.right(F.col(c), F.col("n"))).drop("ns", "n")  # noqa: E731  ns is one row
-    by_path = suffixes(usable, "path", lengths(open_, "link")).join(open_.withColumnRenamed("link", "suffix"), "suffix").select(F.col("suffix").alias("link"), "path", "pos", "github_url")
-    by_link = suffixes(open_, "link", lengths(usable, "path")).join(usable.withColumnRenamed("path", "suffix"), "suffix").select("link", F.col("suffix").alias("path"), "pos", "github_url")
-    best = by_path.unionByName(by_link).groupBy("link").agg(F.min_by("github_url", F.struct((F.col("path") != F.col("link")).alias("inexact"), "pos")).alias("found"))
+    best = suffix_matches(links.filter(~absolute & F.col("link").isNotNull()).select("link").distinct(), usable)
     return links.join(best, "link", "left").select("link_id", "link", F.when(absolute, F.col("link")).otherwise(F.coalesce("found", "link")).alias("url"))
