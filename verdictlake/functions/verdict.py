@@ -105,8 +105,12 @@ def problem(v: Column) -> Column:
     )
 
 
+#: Fixed value: what a verdict that no call backs is given as its suggestion.
+INCOMPLETE = "Verification incomplete — GitHub API errors prevented full analysis: "
+
+
 def overridden(status: Column, suggestion: Column, errors: Column, successes: Column) -> Column:
     """status and suggestion: a pass that no tool call backs fails, with the first three errors as the reason."""
     forced = (F.size(errors) > 0) & (successes == 0) & (status == "pass")
-    reason = F.concat(F.lit("Verification incomplete: errors prevented full analysis: "), F.array_join(F.slice(errors, 1, 3), "; "))
+    reason = F.concat(F.lit(INCOMPLETE), F.array_join(F.slice(errors, 1, 3), "; "))
     return F.struct(F.when(forced, "fail").otherwise(status).alias("status"), F.when(forced, reason).otherwise(suggestion).alias("suggestion"))

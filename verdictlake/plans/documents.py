@@ -151,7 +151,7 @@ def verdict_validate(spark: SparkSession, d: str) -> DataFrame:
     return _verdicts(spark, d).select("o_orderkey", D.problem(D.parse(F.col("j"))).alias("problem"))
 
 
-@query("verdict_override", "select o_orderkey, case when forced then 'fail' else status end status, case when forced then 'Verification incomplete: errors prevented full analysis: e1; e2; e3' when o_orderstatus = 'O' then 's' end suggestion from (select *, case when o_orderkey % 2 = 0 then 'pass' else 'fail' end status, o_custkey % 3 = 0 and o_orderpriority <> '5-LOW' and o_orderkey % 2 = 0 forced from orders)")
+@query("verdict_override", "select o_orderkey, case when forced then 'fail' else status end status, case when forced then 'Verification incomplete — GitHub API errors prevented full analysis: e1; e2; e3' when o_orderstatus = 'O' then 's' end suggestion from (select *, case when o_orderkey % 2 = 0 then 'pass' else 'fail' end status, o_custkey % 3 = 0 and o_orderpriority <> '5-LOW' and o_orderkey % 2 = 0 forced from orders)")
 def verdict_override(spark: SparkSession, d: str) -> DataFrame:
     """A pass without any successful tool call fails."""
     status = F.when(F.col("o_orderkey") % 2 == 0, "pass").otherwise("fail")

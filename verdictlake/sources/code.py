@@ -24,7 +24,9 @@ from verdictlake.sources.fetch import FetchError, fetcher, with_retry
 
 GROUP = 20
 HOST = r"https?://[^/]+"
-WARNING = "[WARNING] the repository's tree was cut off: the file list is incomplete"
+#: Path and content of the row that warns of a cut tree.
+WARNING = "[WARNING] GitHub repository tree was truncated — file list is incomplete"
+WARNED = "The GitHub API truncated the repository tree response. Not all files were fetched. Consider using Exact File Paths mode for large repositories."
 
 
 class Files(InputPartition):
@@ -65,7 +67,7 @@ class CodeReader(DataSourceReader):
             good = [x["path"] for x in tree.get("tree", []) if x.get("type") == "blob" and PurePosixPath(x.get("path", "")).suffix.lower() not in BINARY_EXTENSIONS and x.get("size", 0) <= MAX_FILE_BYTES][:MAX_REPO_FILES]
             if not good:
                 raise ValueError(f"no text files in {owner}/{repo}")
-            warned = [Files([], True, [(WARNING, "Not all files were fetched.", None)])] if tree.get("truncated") else []
+            warned = [Files([], True, [(WARNING, WARNED, None)])] if tree.get("truncated") else []
             return warned + self._groups([(f"{owner}/{repo}/contents/{branch}/{p}", p, f"{host}/{owner}/{repo}/blob/{branch}/{p}") for p in good], skip=True)
         if mode == "pull_request":
             m = re.match(rf"{HOST}/([^/]+)/([^/]+)/pull/(\d+)", text)
