@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,21 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Frees what steps before a checkpoint left: Spark drops their shuffle files, broadcasts and plans when the driver collects its garbage."""
-    gc.collect()  # DataFrames hold on to their plans
-    spark.sparkContext._jvm.System.gc()
+def release() -> None:
+    """Gives freed memory back to the system, which Arrow's allocator and the C library would keep as long as the driver, or a worker that later tasks use again, runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underlines added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:
@@ -75,7 +88,7 @@ def row_key(df: DataFrame) -> Column:
     return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), *parts)), 16, "0") for k in (1, 2)))
 
 
-def without_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose row_key isn't among `gone`. Few keys are broadcast and the rows stay in place; many are joined by shuffle."""
-    gone = durable(gone.distinct())
-    return keyed.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_KEYS else gone, "row_key", "left_anti")
+def without_keys(keyed: DataFrame, gone: DataFrame, name: str = "row_key") -> DataFrame:
+    """The rows whose key, in the column `name`, isn't among `gone`. Few keys are broadcast and the rows stay in place; many are joined by shuffle."""
+    gone = durable(gone.toDF(name).distinct())
+    return keyed.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_KEYS else gone, name, "left_anti")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import durable, tidy
+from verdictlake.llm.common import durable, release
 
 #: Rows of a key from which it is dealt to several tasks, and the share of all rows from which it is: at most PARTS keys are.
 MANY, PARTS = 100, 1000
+#: Links that a task contracts together.
+TOGETHER = 400_000
 
 
 def with_groups(rows: DataFrame, key: str, total: int, spread: Column, **aggregates: Column) -> DataFrame:
@@ -36,20 +43,68 @@ def _both(first: tuple[str, str], second: tuple[str, str]) -> Column:
     return F.inline(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (first, second))))
 
 
+def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node, of 0 to n - 1, that links between u and v reach from each."""
+    low = np.arange(n)
+    while True:
+        a, b = low[u], low[v]
+        if (a == b).all():
+            return low
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := low[low], low):
+            low = up
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links u, v with the components of the given ones: each task puts the smallest node it sees in place of paths, up to TOGETHER links at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def taken() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            size = table.num_rows
+            coded = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+            low = stars(codes[:size], codes[size:], len(order))
+            names = coded.dictionary.take(pa.array(order))
+            moved = np.flatnonzero(low != np.arange(len(low)))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(low[moved]))], ["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                yield taken()
+                held.clear()
+        if held:
+            yield taken()
+            held.clear()
+        release()
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) of any sortable type: node and root, the smallest node of its component. Nodes without a link are left out.
 
-    Each half of a round is kept, so that plans stay small, however many rounds there are.
+    Tasks contract the links that they see before every round, so that few rounds are left; each half of a round is kept, so that
+    plans stay small, however many there are.
     """
-    now = durable(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # kept first: where links come out of Python, a task that contracts them at once would hold two workers
+    found = durable(edges.filter(F.col("u") != F.col("v")).select("u", "v"))
+    now = durable(contracted(found).distinct())
     mark = None
     while True:
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == mark:
             break
-        mark, total = tuple(found), 2 * found[0]
-        tidy(edges.sparkSession)
+        mark, total = state, 2 * state[0]
         large = _smallest(now.select(_both(("u", "v"), ("v", "u"))), total).filter(F.col("v") > F.col("u"))
         large = durable(large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
-        now = durable(_smallest(large, total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v")).distinct())
+        small = _smallest(large, total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v"))
+        now = durable(contracted(small).distinct())
     return now.select(_both(("u", "v"), ("v", "v"))).select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, row_key, tidy, without_keys
+from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, free_name, release, row_key, without_keys
 from verdictlake.llm.graph import components, with_groups
 
 #: Partitions of a word, and their bits.
@@ -334,6 +334,7 @@ def _compared(texts: DataFrame, shingle: int, percent: int, crosswise: bool) ->
                     own, shingles = int.from_bytes(sid[:8], "big") % n, np.unique(shingle_hashes(text, shingle)).tobytes()
                     rows += [(root, min(own, k) << 32 | max(own, k), sid, shingles) for k in (range(n) if crosswise else (own,))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["root", "pair", "sid", "shingles"])
+        release()
 
     def joined(group: pa.Table) -> pa.Table:
         sids = group.column("sid").to_pylist()
@@ -387,8 +388,10 @@ def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance:
     Works on rows: whether a row stays doesn't depend on other rows of the same id, or without one. Ids sort before null, rows of
     one id by their key.
     """
-    keyed = df.withColumn("row_key", row_key(df))
-    source = keyed.select("row_key", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    release()  # what the stages before have learned is gone by now
+    name = free_name(df, "row_key")
+    keyed = df.withColumn(name, row_key(df))
+    source = keyed.select(F.col(name).alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -400,6 +403,7 @@ def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance:
                 fps.append(_print(hashes, words))
                 sizes.append(len(own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sids, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["row_key", "doc_id", "sid", "fp", "size"])
+        release()
 
     kinds = [T.StructField("row_key", T.StringType()), source.schema["doc_id"], T.StructField("sid", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
     prints = durable(source.mapInArrow(printed, T.StructType(kinds)))
@@ -407,15 +411,13 @@ def one_of_each(df: DataFrame, shingle: int, percent: int, words: int, distance:
     sets = durable(prints.groupBy("sid", "fp").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
     roots = durable(components(links(sets.select("fp").distinct(), distance, words, probe_distance, probes, any_part=True)))
     placed = durable(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"), "sid").agg(F.min("row_key").alias("row_key"), F.min("size").alias("size")))
-    tidy(df.sparkSession)
     linked = durable(components(verified(placed, source, shingle, percent)))
-    tidy(df.sparkSession)
     grouped = durable(prints.select("row_key", "doc_id", "sid").join(linked.withColumnRenamed("node", "sid"), "sid", "left").select("row_key", "doc_id", F.coalesce("root", "sid").alias("of")))
     first = with_groups(grouped, "of", grouped.count(), F.col("row_key"), first=F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")))
     gone = durable(first.filter(F.col("row_key") != F.col("first.row_key")).select("row_key").distinct())
     copies = durable(grouped.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("row_key").join(gone, "row_key", "left_anti"))
-    stay = without_keys(keyed, gone.unionByName(copies))
+    stay = without_keys(keyed, gone.unionByName(copies), name)
     if not copies.isEmpty():
-        few = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_KEYS else copies
-        stay = stay.unionByName(keyed.join(few, "row_key", "left_semi").dropDuplicates(["row_key"]))
+        few = F.broadcast(copies.toDF(name)) if copies.count() <= MAX_BROADCAST_KEYS else copies.toDF(name)
+        stay = stay.unionByName(keyed.join(few, name, "left_semi").dropDuplicates([name]))
     return stay.select(*df.columns)

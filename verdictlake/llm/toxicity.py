@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictlake.llm.common import durable
+from verdictlake.llm.common import durable, release
 from verdictlake.llm.quality import labelled_sample
 
 SAMPLE, K, BLOCK = 3000, 15, 32
@@ -223,6 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
     votes = sorted(map(tuple, sample.mapInArrow(voted, "vote double, label double").filter(F.col("vote").isNotNull()).collect()))
     index.calibrate(np.array([v for v, _ in votes]), np.array([y for _, y in votes]))
+    del rows, votes
+    release()
     return index
 
 
@@ -253,5 +255,6 @@ def accepted(df: DataFrame, index: Index, most: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             yield b.filter(pa.array([s < most for s, _ in held.value.score(b.column(column).to_pylist())], pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)
