@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import ASCII_LOWER, MAX_BROADCAST_KEYS, NON_WORD, durable, row_key, spaced, without_keys
+from verdictlake.llm.common import ASCII_LOWER, MAX_BROADCAST_KEYS, NON_WORD, durable, free_name, row_key, spaced, without_keys
 
 WINDOW, NEEDED = 13, 11
 #: Two masks of six words; together they meet every choice of two substitutions in thirteen words.
@@ -100,9 +100,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows into whose own text no benchmark item leaks, whatever other rows of the same id hold."""
-    keyed = docs.withColumn("row_key", row_key(docs))
-    leaks = contaminated(keyed, benchmark, id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
-    return without_keys(keyed, leaks).select(*docs.columns)
+    name = free_name(docs, "row_key")
+    keyed = docs.withColumn(name, row_key(docs))
+    leaks = contaminated(keyed, benchmark, id_col=name).select("doc_id").distinct()
+    return without_keys(keyed, leaks, name).select(*docs.columns)
 
 
 #: The same pairs by comparing every word of every document with every word of every item.

@@ -9,7 +9,7 @@ those of all others in one pair of arrays by row displacement (a state's edge to
 symbol, if that place names the state), so that memory follows the edges, whatever the alphabet. The documents of a batch,
 longest first, advance together, one symbol a step in all languages; the last few go on alone. Phrases are never cut.
 
-The labelled sample is bounded: of at most DOCS documents a language, chosen by hash, whole documents (those of an eighth of
+The labelled sample is bounded: of at most LANGS languages, those of the most rows, and at most DOCS different documents of each, chosen by hash, whole documents (those of an eighth of
 the bound or less first) while they stay within SYMBOLS characters, and at least one; with many languages the bound of each
 falls so that all stay within ALL_SYMBOLS, down to LEAST_SYMBOLS.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCS, SYMBOLS, ALL_SYMBOLS, LEAST_SYMBOLS = 200, 24_000, 240_000, 2_000
+#: Languages that are learned at most: those of the most rows.
+LANGS = 500
 COMMON = 63
 #: Documents from which they advance together.
 FEW = 8
@@ -247,9 +249,11 @@ class Parser:
 def learn(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser | None:
     """A parser from the rows that are usable and have an id, a lang and a text, on the bounded sample; None if there is none."""
     rows = df.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "lang", "text"))
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
+    keyed = rows.join(F.broadcast(langs), "lang", "left_semi").withColumn("key", F.xxhash64("doc_id", "lang", "text"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "key")
-    chosen = keyed.select("lang", "doc_id", "key", F.length("text").alias("size")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= DOCS).dropDuplicates(["lang", "key"])
+    distinct = keyed.select("lang", "doc_id", "key", F.length("text").alias("size")).dropDuplicates(["lang", "key"])
+    chosen = distinct.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= DOCS)
     sizes = sorted(map(tuple, chosen.select("lang", "nth", "key", "size").collect()))
     bound = max(LEAST_SYMBOLS, min(SYMBOLS, ALL_SYMBOLS // max(1, len({r[0] for r in sizes}))))
     wanted: dict[str, list[int]] = {}

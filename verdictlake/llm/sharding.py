@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import durable
+from verdictlake.llm.common import durable, free_name
 
 BITS = 60
 
@@ -43,8 +43,8 @@ def _leaves(cells: DataFrame, depth: int, above: int, limit_bytes: int) -> DataF
     return found.groupBy("cell").agg(F.min(F.struct("depth", "bucket", "shard_bytes", "shard_docs")).alias("leaf"))
 
 
-def extendible_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, shard_depth, shard (the bucket's bits, '' if one shard holds all), shard_docs, shard_bytes, fits."""
+def _placed(df: DataFrame, limit_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """What extendible_shards gives, and the row's hash `h`, which alone decides on its shard."""
     rows = durable(df.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("n_bytes"), row_hash(F.col(id_col), F.col(text_col)).alias("h")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth, above, placed = min(BITS, max(4, math.ceil(math.log2(max(1, total / limit_bytes))) + 4)), 0, None
@@ -63,6 +63,7 @@ def extendible_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", t
             break
         open_rows, above, depth = durable(rest), depth + 1, min(BITS, depth + 8)
     return placed.select(
+        "h",
         "doc_id",
         "n_bytes",
         F.col("leaf.depth").cast("bigint").alias("shard_depth"),
@@ -73,11 +74,21 @@ def extendible_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", t
     )
 
 
-def write_shards(df: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the rows to one folder a shard; rows of a shard are brought together by its bits, ids must be unique."""
-    shards = extendible_shards(df, limit_bytes, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard")
-    shard = F.when(F.col("shard") == "", F.lit("all")).otherwise(F.col("shard"))
-    df.join(shards, id_col).withColumn("shard", shard).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+def extendible_shards(df: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, shard_depth, shard (the bucket's bits, '' if one shard holds all), shard_docs, shard_bytes, fits."""
+    return _placed(df, limit_bytes, id_col, text_col).drop("h")
+
+
+def write_shards(df: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Writes the rows to one folder a shard, and gives the name of the folders' column: shard, or another if the table has one of that name.
+
+    A row's shard follows from its own hash, so rows without an id and repeated ones are written as often as they are there.
+    """
+    name, key = free_name(df, "shard"), free_name(df, "row_hash")
+    shards = _placed(df, limit_bytes, id_col, text_col).select(F.col("h").alias(key), F.when(F.col("shard") == "", F.lit("all")).otherwise(F.col("shard")).alias(name)).distinct()
+    rows = df.withColumn(key, row_hash(F.col(id_col), F.col(text_col))).join(shards, key).drop(key)
+    rows.repartition(name).write.partitionBy(name).mode("overwrite").parquet(path)
+    return name
 
 
 def oracle(limit_bytes: int, max_depth: int = 24) -> str:
