@@ -146,19 +146,18 @@ def _grow(pointers: np.ndarray, depth: int, after: np.ndarray, n: np.ndarray, le
         _grow(pointers[starts[k] : ends[k]], depth + 1, after, n, least, grown, out)
 
 
-def _grown(lang: str, prefix: str, rows: list[tuple[str, np.ndarray]], longest: int, least: int, whole: bool) -> tuple[list[str], list[int], list[int]]:
-    """Frequent phrases that start with the prefix, their words and counts. whole: all the prefix's occurrences are here."""
+def _grown(prefix: str, rows: list[tuple[pa.Array, np.ndarray]], total: int, longest: int, least: int, whole: bool) -> tuple[list[str], list[int], list[int]]:
+    """Frequent phrases that start with the prefix, their words and counts. whole: all the prefix's `total` occurrences are here."""
     n = np.concatenate([x for _, x in rows])
     known = prefix.count(" ") + 1
-    if whole and int(n.sum()) < least:
-        return [], [], []
-    phrases, words, counts = ([prefix], [known], [int(n.sum())]) if known > 1 else ([], [], [])
+    phrases, words, counts = ([prefix], [known], [total]) if known > 1 else ([], [], [])
     if not whole and known > 2:  # its beginnings are dealt as well: this is their part
         pieces = prefix.split(" ")
         for k in range(2, known):
-            phrases.append(" ".join(pieces[:k])), words.append(k), counts.append(int(n.sum()))
+            phrases.append(" ".join(pieces[:k])), words.append(k), counts.append(total)
     if known < longest:
-        split = pc.split_pattern(pa.array([line for tails, _ in rows for line in tails.split("\n")]), " ")
+        tails = pa.concat_arrays([x for x, _ in rows])
+        split = pc.split_pattern(pc.list_flatten(pc.split_pattern(tails, "\n")), " ")
         size = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         flat, names = terms.numbered(pc.list_flatten(split))
         after = np.full((len(n), longest - known), -1, np.int64)
@@ -185,15 +184,19 @@ def grow(docs: DataFrame, hot: dict[str, dict[str, int]], longest: int, least: i
                 yield from _projected(lang, c, longest, hot.get(lang, {}))
 
     def tasks(batches):
-        now, rows = None, []
+        now, rows, total = None, [], 0
         found: tuple[list, list, list, list] = ([], [], [], [])
 
         def close():
-            if rows:
-                lang, prefix, _ = now
-                phrases, words, counts = _grown(lang, prefix, rows, longest, least, prefix.partition(" ")[0] not in hot.get(lang, {}))
-                for column, values in zip(found, ([lang] * len(phrases), phrases, words, counts), strict=True):
-                    column.extend(values)
+            if not rows:
+                return
+            lang, prefix, _ = now
+            whole = prefix.partition(" ")[0] not in hot.get(lang, {})
+            if whole and total < least:  # not frequent, and so is nothing that it grows into
+                return
+            phrases, words, counts = _grown(prefix, rows, total, longest, least, whole)
+            for column, values in zip(found, ([lang] * len(phrases), phrases, words, counts), strict=True):
+                column.extend(values)
 
         def taken():
             batch = pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int64())], names=["lang", "phrase", "words", "n"])
@@ -202,14 +205,23 @@ def grow(docs: DataFrame, hot: dict[str, dict[str, int]], longest: int, least: i
             return batch
 
         for batch in batches:
-            lists = batch.column("n")
+            if not batch.num_rows:
+                continue
+            lists, tails = batch.column("n"), batch.column("tails")
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            keys = zip(batch.column("lang").to_pylist(), batch.column("prefix").to_pylist(), batch.column("part").to_pylist(), strict=True)
-            for k, (key, tails) in enumerate(zip(keys, batch.column("tails").to_pylist(), strict=True)):
-                if key != now:
+            sums = np.add.reduceat(values, offsets[:-1])  # no list is empty
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("prefix").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != now:
                     close()
-                    now, rows = key, []
-                rows.append((tails, values[offsets[k] : offsets[k + 1]]))
+                    now, rows, total = keys[at], [], 0
+                rows.append((tails.slice(at, end - at), values[offsets[at] : offsets[end]]))
+                total += int(sums[at:end].sum()) if end - at > 1 else int(sums[at])
+                at = end
             if len(found[0]) >= 10_000:
                 yield taken()
         close()
