@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,23 @@ def test_components_against_brute_force(spark, monkeypatch, together, kind):
     got = {plain(r.node): plain(r.root) for r in graph.components(df).collect()}
     assert got == {k: v for k, v in brute([e for e in edges if e[0] != e[1]]).items()}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_a_group_that_many_tasks_see_needs_no_rounds(spark, monkeypatch):
+    """Each task has another part of the links of 300 nodes; before any round they are left with one link a node."""
+    rng = random.Random(3)
+    edges = [(k, rng.choice(range(max(0, k - 20), k))) for k in range(1, 300) for _ in range(30)] + [(k, k + 1) for k in range(1000, 1200, 2)]
+    rng.shuffle(edges)
+    met = []
+    stars = graph._are_stars
+    monkeypatch.setattr(graph, "_are_stars", lambda links, total: met.append(total) or stars(links, total))
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(60)).collect()}
+    assert got == brute(edges)
+    assert met == [299 + 100]  # a link for each node but the smallest of its component
+
+
+def test_tasks_pass_on_one_link_of_a_node(monkeypatch):
+    monkeypatch.setattr(graph, "TOGETHER", 64)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k + 1 for k in range(20)]), pa.array(range(20))], ["u", "v"]) for _ in range(50)]
+    made = [(u, v) for b in graph.contract(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted(made) == [(k, 0) for k in range(1, 21)]

@@ -55,56 +55,69 @@ def stars(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             low = up
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Links u, v with the components of the given ones: each task puts the smallest node it sees in place of paths, up to TOGETHER links at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def taken() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            size = table.num_rows
-            coded = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
-            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-            order = pc.sort_indices(coded.dictionary).to_numpy()
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
-            low = stars(codes[:size], codes[size:], len(order))
-            names = coded.dictionary.take(pa.array(order))
-            moved = np.flatnonzero(low != np.arange(len(low)))
-            return pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(low[moved]))], ["u", "v"])
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= TOGETHER:
-                yield taken()
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inside a task: links u, v with the components of the given ones, the smallest node seen in place of paths, up to TOGETHER links at once.
+
+    A node has one link to a smaller one at most in what is made of TOGETHER links.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def taken() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        size = table.num_rows
+        coded = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        low = stars(codes[:size], codes[size:], len(order))
+        names = coded.dictionary.take(pa.array(order))
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(low[moved]))], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            # what is made of them goes on, so that a task that sees the same nodes again and again passes each on once
+            small = taken()
+            held[:] = [small]
+            if small.num_rows > TOGETHER // 2:
+                yield small
                 held.clear()
-        if held:
-            yield taken()
-            held.clear()
-        release()
+    if held:
+        yield taken()
+        held.clear()
+    release()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The links, contracted in the tasks that hold them."""
+    return edges.select("u", "v").mapInArrow(contract, edges.select("u", "v").schema)
 
-    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+def _are_stars(links: DataFrame, total: int) -> bool:
+    """Whether every u of the distinct links has one v, and no v is a u: then each v is the smallest node of its component."""
+    if links.select("u").distinct().count() < total:
+        return False
+    return links.select("v").distinct().join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) of any sortable type: node and root, the smallest node of its component. Nodes without a link are left out.
 
-    Tasks contract the links that they see before every round, so that few rounds are left; each half of a round is kept, so that
-    plans stay small, however many there are.
+    Tasks contract the links that they see, then those of a node meet in one task and are contracted again, twice: a node that many
+    tasks have seen with different smallest nodes is left with one link before any round begins. A task passes on one link of a
+    node at most, so that no node brings more of them than there are tasks. Rounds follow while the links aren't stars; each
+    half of a round is kept, so that plans stay small, however many there are.
     """
     # kept first: where links come out of Python, a task that contracts them at once would hold two workers
     found = durable(edges.filter(F.col("u") != F.col("v")).select("u", "v"))
-    now = durable(contracted(found).distinct())
-    mark = None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == mark:
-            break
-        mark, total = state, 2 * state[0]
-        large = _smallest(now.select(_both(("u", "v"), ("v", "u"))), total).filter(F.col("v") > F.col("u"))
+    once = durable(contracted(contracted(found).repartition("u")))
+    now = durable(contracted(once.repartition("u")).distinct())
+    while not _are_stars(now, total := now.count()):
+        large = _smallest(now.select(_both(("u", "v"), ("v", "u"))), 2 * total).filter(F.col("v") > F.col("u"))
         large = durable(large.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
-        small = _smallest(large, total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v"))
-        now = durable(contracted(small).distinct())
+        small = _smallest(large, 2 * total).select(_both(("v", "low"), ("u", "low"))).filter(F.col("u") != F.col("v"))
+        now = durable(contracted(contracted(small).repartition("u")).distinct())
     return now.select(_both(("u", "v"), ("v", "v"))).select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()

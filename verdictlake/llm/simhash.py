@@ -10,8 +10,9 @@ fingerprints differ in at most `distance` bits. Links are found between distinct
    whatever the input) give for every threshold; a partition with a hot value gets none.
 3. A fingerprint goes to the buckets of all values within half the threshold of its own, where any two meet that are within
    the threshold. Buckets that the histogram shows to be large are cut into blocks, every pair of which meets in a bucket.
-4. Sorted buckets stream through the tasks, which verify the pairs and pass on one link only where two groups join, so a
-   bucket's rows never become its pairs; connected components close the links.
+4. Sorted buckets stream through the tasks, which verify the pairs and keep one link only where two groups join, so a
+   bucket's rows never become its pairs. A task contracts the links of all its buckets before it passes them on: a node that
+   it has met in many buckets has one link. Connected components close the links.
 
 With 64 bits the probed word is the whole fingerprint and no link is lost. With more words, the first `probes` words are
 probed, each on its own: a link is found if one of them differs in `probe_distance` bits or fewer. With `any_part` all that
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, free_name, release, row_key, without_keys
-from verdictlake.llm.graph import components, with_groups
+from verdictlake.llm.graph import components, contract, with_groups
 
 #: Partitions of a word, and their bits.
 PARTS, WIDTH = 4, 16
@@ -267,7 +268,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
                     yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (fp.take(pa.array(a)), fp.take(pa.array(b)))], ["u", "v"])
 
     buckets = nodes.select("fp").mapInArrow(dealt, "bucket long, fp binary").repartition("bucket").sortWithinPartitions("bucket")
-    return buckets.mapInArrow(joined, "u binary, v binary")
+    return buckets.mapInArrow(lambda batches: contract(joined(batches)), "u binary, v binary")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, probe_distance: int | None = None, probes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
