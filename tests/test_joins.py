@@ -1,5 +1,6 @@
 """Joins by time, intervals, vectors by an index, writes in place and sketches, against brute force; and their plans."""
 
+import bisect
 import os
 import random
 import re
@@ -170,3 +171,25 @@ def test_tools_as_table_functions(spark):
     assert {tuple(r) for r in spark.sql(call.format("/a/")).collect()} == {("r", "b/", 1), ("r", "x.py", 1), ("s", "q.py", 1)}
     assert {tuple(r) for r in spark.sql(call.format("")).collect()} == {("r", "a/", 2), ("r", "z.py", 1), ("s", "a/", 1)}
     assert spark.sql(call.format("a/x.py")).count() == 0
+
+
+def test_cut_points_are_looked_up_in_two_short_steps(spark):
+    """The part of a row is the number of cut points below it, and no row carries more than about the square root of them."""
+    cuts = {1: sorted(random.Random(1).sample(range(100_000), 2000)), 2: [5], 3: []}
+    cut = spark.createDataFrame(list(cuts.items()), "_key long, _cuts array<long>")
+    rows = [(k, at) for k in (1, 2, 3, 4) for at in [*range(-1, 100_001, 997), 4, 5, 6, *cuts.get(k, [])[:50], *cuts.get(k, [])[-2:]]]
+    found = T._dealt(spark.createDataFrame(rows, "_key long, _at long").withColumn("at", F.col("_at")), cut, 2001)
+    assert sorted((r._key, r.at, r._part) for r in found.collect()) == sorted((k, at, bisect.bisect_left(cuts.get(k, []), at)) for k, at in rows)
+
+
+def test_probes_come_in_batches_of_bounded_size(spark, monkeypatch):
+    """Queries that look into every cluster: what a task makes at once doesn't grow with its queries."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(900)], "vec_id long, embedding array<double>").coalesce(1)
+    index = V.build(vectors, count=30)
+    made = []
+    monkeypatch.setattr(type(vectors), "mapInPandas", lambda df, run, kinds: made.append(run) or df)
+    V._probes(vectors.selectExpr("vec_id query_id", "embedding values", "-2.0D floor"), index, 0, True)
+    whole = vectors.selectExpr("vec_id query_id", "embedding values", "-2.0D floor").toPandas()
+    sizes = [len(x) for x in made[0](iter([whole]))]
+    assert sum(sizes) == 900 * 30 and max(sizes) <= V.ASKED * 30

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,26 @@ from pyspark.sql import functions as F
 MANY, PARTS = 10_000, 1000
 
 
+def _below(values: Column, at: Column, most: int) -> Column:
+    """How many of an array's sorted values, `most` at most, are below another; by halves, none for a null array."""
+    steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) < at, n + step).otherwise(n))
+
+
+def _dealt(rows: DataFrame, cut: DataFrame, parts: int) -> DataFrame:
+    """Rows (_key, _at) with their _part: how many cut points (_cuts, by _key) are below _at.
+
+    Cut points are looked up in two steps, group and place in it, so that a row meets about the square root of them, however many.
+    """
+    width = max(1, math.isqrt(parts))
+    groups = cut.filter(F.size("_cuts") > 0).select("_key", F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / width).cast("int")), lambda g: F.slice("_cuts", g * width + 1, width)).alias("_groups"))
+    first = groups.select("_key", F.transform("_groups", lambda g: g[0]).alias("_first"))
+    within = groups.select("_key", F.posexplode("_groups").alias("_group", "_within"))
+    at = rows.join(F.broadcast(first), "_key", "left").withColumn("_group", _below(F.col("_first"), F.col("_at"), -(-parts // width)) - 1).drop("_first")
+    at = at.join(F.broadcast(within), ["_key", "_group"], "left")
+    return at.withColumn("_part", F.greatest(F.col("_group"), F.lit(0)) * width + _below(F.col("_within"), F.col("_at"), width)).drop("_group", "_within", "_at")
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, many: int | None = None) -> DataFrame:
     """The left rows, each with a struct `found`: the right row of its key with the greatest time that isn't after its own, or null.
 
@@ -34,8 +56,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, many: int
         # cut points of each hot key, from sketches of its times; few keys are hot, so these are few
         micros = F.unix_micros(F.col("_time").cast("timestamp")) if dict(left.dtypes)[time].startswith(("timestamp", "date")) else F.col("_time")
         shares = [k / int(parts) for k in range(1, int(parts))]
-        cut = rows.filter(~lone).join(F.broadcast(hot.select("_key")), "_key", "left_semi").groupBy("_key").agg(F.percentile_approx(micros, shares, 10_000).alias("_cuts"))
-        dealt = rows.filter(~lone).join(F.broadcast(cut), "_key", "left").withColumn("_part", F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < micros)), F.lit(0))).drop("_cuts")
+        cut = rows.filter(~lone).join(F.broadcast(hot.select("_key")), "_key", "left_semi").groupBy("_key").agg(F.array_distinct(F.percentile_approx(micros, shares, 10_000)).alias("_cuts"))
+        dealt = _dealt(rows.filter(~lone).withColumn("_at", micros), cut, int(parts))
         ends = dealt.filter("_side = 0").join(F.broadcast(hot.select("_key")), "_key", "left_semi").groupBy("_key", "_part").agg(F.max(F.struct("_time", "_found")).alias("_end"))
         # what each part of a hot key starts with: from its end on, for all parts up to the next one that has a right row
         after = F.lead("_part").over(Window.partitionBy("_key").orderBy("_part"))
