@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 CENTRES, SAMPLE, ROUNDS = 1024, 20_000, 10
 #: Vectors and queries that a task compares at once; clusters that a query looks into first.
 PART, QUERIES, FIRST = 20_000, 5_000, 2
+#: Rows that a task holds against all centres at once: each becomes up to CENTRES rows.
+ASKED = 64
 #: Cosines are compared after rounding to DIGITS; bounds give way by as much and by what floating point may err.
 DIGITS = 6
 SLACK = 10.0**-DIGITS + 1e-9
@@ -44,6 +46,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return unit(np.array(column.tolist(), np.float64).reshape(len(column), -1))
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), ASKED):
+            yield pdf.iloc[at : at + ASKED]
+
+
 def centres_of(sample: np.ndarray, count: int) -> np.ndarray:
     """Spherical k-means over the sample; starts from rows spread over it, so that the same sample gives the same centres."""
     centres = sample[np.linspace(0, len(sample) - 1, min(count, len(sample))).astype(int)]
@@ -67,7 +75,7 @@ def build(vectors: DataFrame, key: str = "vec_id", values: str = "embedding", co
     centres = centres_of(_matrix(sample["values"]), count or int(min(CENTRES, max(1, total**0.5))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             cos = _matrix(pdf["values"]) @ centres.T
             yield pdf.assign(cluster=np.argmax(cos, axis=1).astype(np.int32), angle=np.arccos(np.clip(cos.max(axis=1), -1, 1)))
 
@@ -89,12 +97,15 @@ def bounds(index: Index, queries: np.ndarray) -> np.ndarray:
 
 
 def _probes(queries: DataFrame, index: Index, first: int, second: bool) -> DataFrame:
-    """A row for each cluster that a query looks into: the `first` with the best bounds, or the others that `floor` doesn't rule out."""
+    """A row for each cluster that a query looks into: the `first` with the best bounds, or the others that `floor` doesn't rule out.
+
+    A task makes the rows of ASKED queries at once, so that its memory doesn't grow with the queries or with those that rule out little.
+    """
     _, centres, radius, parts, sizes = index
     known = index._replace(vectors=None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _slices(batches):
             most = bounds(known, _matrix(pdf["values"]))
             order = np.argsort(-most, axis=1, kind="stable")
             rank = np.empty_like(order)
