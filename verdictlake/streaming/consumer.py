@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 #: A key's state after a batch. run: starts so far; verdicts: `scenario:status` in order; text: tokens, once the run is complete.
 STATE = "key string, version long, run long, streaming boolean, verdicts array<string>, total int, passed int, failed int, done int, pages int, error string, logs long, tokens long, text string"
+_STATE = tuple(x.split()[0] for x in STATE.split(", "))
 _HEAD = "version long, run long, streaming boolean, total int, passed int, failed int, done int, pages int, error string, logs long, tokens long, complete boolean, rest string"
 _FIELDS = tuple(x.split()[0] for x in _HEAD.split(", "))
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,10 +43,10 @@ class Consumer(StatefulProcessor):
         self.verdicts = handle.getListState("verdicts", "item string")
         self.tokens = handle.getListState("tokens", "item string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
         got = self.head.get()
         head = dict(zip(_FIELDS, got if got is not None else (-1, 0, False, None, None, None, None, None, None, 0, 0, False, ""), strict=True))
-        chunks = sorted({(n, chunk) for pdf in rows for n, chunk in zip(pdf["n"].tolist(), pdf["chunk"].tolist(), strict=True) if n > head["version"]})
+        chunks = sorted({(r["n"], r["chunk"]) for r in rows if r["n"] > head["version"]})
         if not chunks:
             return
         head["version"] = chunks[-1][0]
@@ -79,19 +79,18 @@ class Consumer(StatefulProcessor):
             if new[name]:
                 state.appendList(new[name])
         self.head.update(tuple(head[k] for k in _FIELDS))
-        held = [x[0] for x in self.verdicts.get()] if self.verdicts.exists() else []
-        text = "".join(x[0] for x in self.tokens.get()) if head["complete"] and self.tokens.exists() else None
-        row = {k: [head[k]] for k in _FIELDS if k not in ("rest", "complete")}
-        yield pd.DataFrame({"key": [key[0]], **row, "verdicts": [held], "text": [text]})[[x.split()[0] for x in STATE.split(", ")]].astype({k: "Int64" for k in ("total", "passed", "failed", "done", "pages")})
+        held = [x[0] for x in self.verdicts.get()]
+        text = "".join(x[0] for x in self.tokens.get()) if head["complete"] and head["tokens"] else None
+        yield Row(**{k: {"key": key[0], "verdicts": held, "text": text}.get(k, head.get(k)) for k in _STATE})
 
     def close(self) -> None:
         pass
 
 
 def consume(chunks: DataFrame) -> DataFrame:
-    """STATE of each key that a batch has changed, out of a stream of FRAME rows. Output mode update."""
+    """STATE of each key that a batch has changed, out of a stream of FRAME rows. Output mode update. Rows, as a frame for each key costs more than its work."""
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # lists need it
-    return chunks.groupBy("key").transformWithStateInPandas(Consumer(), STATE, "Update", "None")
+    return chunks.groupBy("key").transformWithState(Consumer(), STATE, "Update", "None")
 
 
 def keep(states: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
