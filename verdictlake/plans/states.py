@@ -54,12 +54,10 @@ def token_replies(spark: SparkSession, d: str) -> DataFrame:
     root = folder(spark)
     replies = table(spark, d, "conversations").filter((F.col("role") == "assistant") & F.col("text").isNotNull())
     # words and their number are worked out once a reply, and chunks are cut in one pass: all is linear in a reply's length
-    split = replies.select("conv_id", "turn", F.split("text", " ").alias("words"))
-    split = split.select("conv_id", "turn", F.posexplode("words").alias("i", "w"), F.size("words").alias("pages"))
-    frame = F.concat(_frame(type=F.lit("token"), content=F.concat(F.when(F.col("i") > 0, " ").otherwise(""), "w")), _frame(type=F.lit("progress"), done=F.col("i") + 1, pages=F.col("pages")))
-    bodies = split.select("conv_id", "turn", "i", frame.alias("frame")).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "frame"))), lambda x: x["frame"]), "").alias("tokens"))
-    body = F.concat(_frame(type=F.lit("start")), "tokens", F.when(F.col("conv_id") % 7 != 3, _frame(type=F.lit("complete"))).otherwise(""))
-    whole = bodies.select(F.concat_ws("-", "conv_id", "turn").alias("key"), body.alias("body"))
+    split = replies.select("conv_id", "turn", F.split("text", " ").alias("words"))  # used twice, so that Spark keeps it a column
+    token = lambda w, i: F.concat(_frame(type=F.lit("token"), content=F.concat(F.when(i > 0, " ").otherwise(""), w)), _frame(type=F.lit("progress"), done=i + 1, pages=F.size("words")))
+    body = F.concat(_frame(type=F.lit("start")), F.array_join(F.transform("words", token), ""), F.when(F.col("conv_id") % 7 != 3, _frame(type=F.lit("complete"))).otherwise(""))
+    whole = split.select(F.concat_ws("-", "conv_id", "turn").alias("key"), body.alias("body"))
     pieces = F.regexp_extract_all("body", F.lit("(?s).{1,100}"), F.lit(0))  # chunks of 100 characters, so that most frames are cut
     chunks = whole.select("key", F.posexplode(pieces).alias("n", "chunk")).withColumn("n", F.col("n").cast("bigint")).withColumn("segment", F.least(F.floor(F.col("n") / 20), F.lit(SEGMENTS)).cast("int"))
     middle = SEGMENTS // 3
