@@ -109,3 +109,33 @@ def test_every_scenario_is_asked_once_and_none_is_lost(spark, tmp_path, tools):
     first = len(rows), len({r.scenario_id for r in rows}), len(os.listdir(log))
     found.collect()  # looking again asks nobody
     assert first[:2] == (200, 200) and 200 < first[2] < 400 and len(os.listdir(log)) == first[2]
+
+
+class Once:
+    """Answers by one verdict, or none, and leaves a file named by its task."""
+
+    def __init__(self, log):
+        from pyspark import TaskContext
+
+        open(os.path.join(log, str(TaskContext.get().partitionId())), "w").close()
+
+    def generate(self, prompt, system):
+        return verdict(1) if prompt.startswith("good") else "no verdict"
+
+    def step(self, messages, tools):
+        return {"text": self.generate(messages[1]["content"], "")}
+
+
+@pytest.mark.parametrize("tools", [False, True])
+def test_prompts_of_one_file_are_dealt_and_answers_read_once(spark, tmp_path, tools):
+    log = str(tmp_path)
+    prompts = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") % 3 == 0, "bad").otherwise("good").alias("prompt")).withColumnRenamed("id", "scenario_id")
+    assert prompts.rdd.getNumPartitions() == 1
+    make = lambda: Once(log)
+    found = A.agentic_verdicts(prompts, make, dict, make, F.lit("o/r")) if tools else M.verdicts(prompts, make)
+    assert len(os.listdir(log)) >= spark.sparkContext.defaultParallelism
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    first = plan.split("LogicalRDD")[0]
+    assert "from_json" not in first and "regexp_extract" not in first
+    got = {r.scenario_id: (r.verdict is None, r.problem) for r in found.collect()}
+    assert got == {k: (k % 3 == 0, "no verdict" if k % 3 == 0 else None) for k in range(300)}

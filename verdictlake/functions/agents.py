@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictlake.functions import verdict as D
-from verdictlake.functions.models import REASK, TOOLS, Model, ToolCalls, generate
+from verdictlake.functions.models import REASK, TOOLS, Model, ToolCalls, dealt, generate
 from verdictlake.functions.text import READ_CHARS, absolute_link
 from verdictlake.sources.fetch import Browser, FetchError, with_retry
 from verdictlake.sources.sinks import once
@@ -75,7 +75,7 @@ def converse(model: ToolModel, prompt: str, system: str, calls: ToolCalls, round
 
 
 def with_tools(df: DataFrame, prompt: str, make: Callable[[], ToolModel], make_tools: Callable[[], dict[str, Callable[..., str]]], system: str = "", rounds: int = ROUNDS) -> DataFrame:
-    """Adds reply, reply_error, tool_errors and tool_successes. Model and tools are made once a task; each row counts its own calls."""
+    """Adds reply, reply_error, tool_errors and tool_successes. Rows are dealt, model and tools made once a task; each row counts its own calls."""
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("reply_error", T.StringType()), T.StructField("tool_errors", T.ArrayType(T.StringType())), T.StructField("tool_successes", T.IntegerType())])
 
     def one(model: ToolModel, tools: dict, text: str) -> tuple:
@@ -91,7 +91,7 @@ def with_tools(df: DataFrame, prompt: str, make: Callable[[], ToolModel], make_t
             got = [one(model, tools, p) for p in pdf[prompt]]
             yield pdf.assign(**{name: [g[k] for g in got] for k, name in enumerate(("reply", "reply_error", "tool_errors", "tool_successes"))})
 
-    return df.mapInPandas(run, schema)
+    return dealt(df).mapInPandas(run, schema)
 
 
 def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_tools: Callable[[], dict[str, Callable[..., str]]], make_plain: Callable[[], Model], repo: Column, system: str = "", rounds: int = ROUNDS) -> DataFrame:
@@ -99,7 +99,8 @@ def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_too
 
     A pass that no tool call backs fails; links that are paths become URLs of the repository. Replies that give no valid
     verdict are asked for once more, without tools, and only those. The first answers are kept before they are looked at, so every
-    scenario is asked once, and once more at most.
+    scenario is asked once, and once more at most. What they say is kept as well: filters that go by it would read an answer
+    again for each field that they name.
     """
     kept = prompts.select("scenario_id", "prompt", repo.alias("_repo"))
 
@@ -109,7 +110,7 @@ def agentic_verdicts(prompts: DataFrame, make: Callable[[], ToolModel], make_too
         over = D.overridden(F.col("verdict.status"), F.col("verdict.implementation_suggestion"), F.col("tool_errors"), F.col("tool_successes"))
         links = F.transform(F.coalesce("verdict.github_links", F.array().cast("array<string>")), lambda x: absolute_link(x, F.col("_repo")))
         whole = F.col("verdict").withField("status", over["status"]).withField("implementation_suggestion", over["suggestion"]).withField("github_links", links)
-        return found.withColumn("verdict", F.when(F.col("verdict").isNotNull(), whole)).withColumn("problem", D.problem(F.col("verdict")))
+        return once(found.withColumn("verdict", F.when(F.col("verdict").isNotNull(), whole)).withColumn("problem", D.problem(F.col("verdict"))))
 
     first = finished(once(with_tools(kept, "prompt", make, make_tools, system, rounds)))
     again = first.filter("problem is not null").select("scenario_id", F.concat(F.lit(REASK), F.coalesce("reply", F.lit(""))).alias("prompt"), "_repo", "tool_errors", "tool_successes")

@@ -53,8 +53,17 @@ def model(name: str) -> Model:
     return MODELS[name.lower()]()
 
 
+#: Tasks for each core that prompts are dealt to.
+TASKS = 2
+
+
+def dealt(prompts: DataFrame) -> DataFrame:
+    """The prompts in as many tasks as keep all cores busy: calls are slow and rows are short, so that one file holds the prompts of hours."""
+    return prompts.repartition(TASKS * prompts.sparkSession.sparkContext.defaultParallelism)
+
+
 def generate(df: DataFrame, prompt: str, make: Callable[[], Model], system: str = "", out: str = "reply") -> DataFrame:
-    """Adds the model's reply; the model is made once a task, inside it. A call that fails gives null and its error beside it."""
+    """Adds the model's reply; rows are dealt, the model is made once a task, inside it. A call that fails gives null and its error beside it."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
@@ -72,7 +81,7 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], Model], system: str
                     errors.append(str(e))
             yield pdf.assign(**{out: replies, f"{out}_error": errors})
 
-    return df.mapInPandas(run, schema)
+    return dealt(df).mapInPandas(run, schema)
 
 
 REASK = "Your previous reply could not be read as a verdict. Return only the corrected verdict as one JSON object, with the same decision and evidence.\n\nPrevious reply:\n"
@@ -81,10 +90,11 @@ REASK = "Your previous reply could not be read as a verdict. Return only the cor
 def verdicts(prompts: DataFrame, make: Callable[[], Model], system: str = "") -> DataFrame:
     """scenario_id, verdict (a struct) and problem. Replies that give no valid verdict are asked for once more, and only those.
 
-    Answers are kept before they are looked at, so every scenario is asked once, and once more at most.
+    Answers are kept before they are looked at, so every scenario is asked once, and once more at most. What they say is kept as
+    well: filters that go by it would read an answer again for each field that they name.
     """
-    first = once(generate(prompts, "prompt", make, system)).withColumn("j", D.read(F.col("reply")))
-    first = first.withColumn("verdict", D.parse(F.col("j"))).withColumn("problem", D.problem(F.col("verdict")))
+    first = once(generate(prompts, "prompt", make, system)).withColumn("verdict", D.parse(D.read(F.col("reply"))))
+    first = once(first.select("scenario_id", "reply", "verdict", D.problem(F.col("verdict")).alias("problem")))
     good = first.filter("problem is null").select("scenario_id", "verdict", "problem")
     again = first.filter("problem is not null").select("scenario_id", F.concat(F.lit(REASK), F.coalesce("reply", F.lit(""))).alias("prompt"))
     second = once(generate(again, "prompt", make, system)).withColumn("verdict", D.parse(D.read(F.col("reply"))))
