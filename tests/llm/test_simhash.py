@@ -141,3 +141,50 @@ def test_a_hub_is_dealt_to_several_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.shuffle.partitions", before[1])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[2])
+
+
+def test_a_group_that_meets_in_all_tasks_is_linked_once(spark):
+    """Near copies meet in most buckets: their links grow with the group, not with the tasks, and join what a brute force joins."""
+    rng = np.random.default_rng(4)
+    flip = lambda k: sum(1 << int(b) for b in rng.choice(192, k, replace=False))
+    base = int.from_bytes(rng.bytes(24), "big")
+    prints = {base} | {base ^ flip(int(rng.integers(1, 26))) for _ in range(400)} | {base ^ flip(50) for _ in range(40)}
+    prints |= {int.from_bytes(rng.bytes(24), "big") for _ in range(300)}
+    prints = sorted(prints)
+    nodes = spark.createDataFrame([(x.to_bytes(24, "big"),) for x in prints], "fp binary")
+    setting = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in setting}
+    for k, v in setting.items():
+        spark.conf.set(k, v)
+    try:
+        found = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in S.links(nodes, 51, 3, 11, 3, any_part=True).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(found) < 8 * len(prints)
+
+    def groups(edges):
+        root = {x: x for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in prints}
+
+    sure = groups((a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if (a ^ b).bit_count() <= 35)
+    most = groups((a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if (a ^ b).bit_count() <= 51)
+    got = groups(found)
+    assert all(got[x] == got[sure[x]] for x in prints) and all(most[x] == most[got[x]] for x in prints)
+
+
+def test_members_known_to_be_linked_are_one():
+    keys, prints = np.array([1, 1, 1, 1, 2, 2, 2]) << 40, np.array([[0], [7], [7 << 20], [7 << 20 | 1], [0], [7], [1]], np.uint64)
+    known = np.array([3, 3, -1, 5, -1, 3, 3])
+    link = lambda *a: [x.tolist() for x in S.forest(*a)]
+    assert link(keys, prints, 1, 1) == [[2, 4], [3, 6]]
+    assert link(keys, prints, 1, 1, known) == [[2, 4], [3, 5]]

@@ -96,6 +96,11 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(contract, edges.select("u", "v").schema)
 
 
+def gathered(links: DataFrame) -> DataFrame:
+    """The links with those of a node met in one task, twice, and contracted each time."""
+    return contracted(contracted(contracted(links).repartition("u")).repartition("u"))
+
+
 def _are_stars(links: DataFrame, total: int) -> bool:
     """Whether every u of the distinct links has one v, and no v is a u: then each v is the smallest node of its component."""
     if links.select("u").distinct().count() < total:

@@ -12,7 +12,8 @@ fingerprints differ in at most `distance` bits. Links are found between distinct
    the threshold. Buckets that the histogram shows to be large are cut into blocks, every pair of which meets in a bucket.
 4. Sorted buckets stream through the tasks, which verify the pairs and keep one link only where two groups join, so a
    bucket's rows never become its pairs. A task contracts the links of all its buckets before it passes them on: a node that
-   it has met in many buckets has one link. Connected components close the links.
+   it has met in many buckets has one link. Connected components close the links. Buckets of own values go first where there
+   are others, and what they join is known to the rest, so that a group that meets in every task isn't linked in each.
 
 With 64 bits the probed word is the whole fingerprint and no link is lost. With more words, the first `probes` words are
 probed, each on its own: a link is found if one of them differs in `probe_distance` bits or fewer. With `any_part` all that
@@ -36,13 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictlake.llm.common import MAX_BROADCAST_KEYS, durable, free_name, release, row_key, without_keys
-from verdictlake.llm.graph import components, contract, with_groups
+from verdictlake.llm.graph import components, contract, gathered, with_groups
 
 #: Partitions of a word, and their bits.
 PARTS, WIDTH = 4, 16
@@ -169,12 +171,25 @@ def allocate(histogram: np.ndarray, distance: int) -> list[int]:
     return best[need][1]
 
 
-def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
+def joined_before(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Each member's first fellow of its bucket (positions) that is known to be linked with it; known names what it is linked with, negative if nothing."""
+    parent, at = np.arange(len(keys)), np.flatnonzero(known >= 0)
+    if len(at):
+        at = at[np.lexsort((at, known[at], keys[at]))]
+        new = np.r_[True, (keys[at][1:] != keys[at][:-1]) | (known[at][1:] != known[at][:-1])]
+        parent[at] = at[new][np.cumsum(new) - 1]
+    return parent
+
+
+def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) from the first of each group of a bucket's members that pairs within the distance join to its others; keys are sorted.
 
     Members of a bucket are first compared in the word that it was probed by, unless `probe` allows all of its bits to differ.
+    Those known to be linked are one member: no link joins them again.
     """
-    n, parent, first = len(keys), np.arange(len(keys)), prints[np.arange(len(keys)), keys >> (40 + WIDTH) >> 2]
+    n, first = len(keys), prints[np.arange(len(keys)), keys >> (40 + WIDTH) >> 2]
+    before = np.arange(n) if known is None else joined_before(keys, known)
+    parent = before.copy()
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -202,12 +217,16 @@ def forest(keys: np.ndarray, prints: np.ndarray, distance: int, probe: int) -> t
                 parent = up
     while not np.array_equal(up := parent[parent], parent):
         parent = up
-    right = np.flatnonzero(parent != np.arange(n))
+    right = np.flatnonzero((parent != np.arange(n)) & (before == np.arange(n)))
     return parent[right], right
 
 
 def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int | None = None, probes: int = 1, any_part: bool = False) -> DataFrame:
-    """From distinct fingerprints (fp): links u, v that leave the components of all links within the distance as they are."""
+    """From distinct fingerprints (fp): links u, v that leave the components of all links within the distance as they are.
+
+    Where buckets have a radius, those of the fingerprints' own values come first, a few for each; what they join is known in all
+    the others. A large group of near copies meets in most buckets of most tasks, and would be linked in each of them again.
+    """
     probe, parts = distance if probe_distance is None else probe_distance, PARTS * probes
     sample = _words(nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column(0), words)
     groups = [g for w in range(probes) for g in correlated_bits(sample[:, w])]
@@ -227,7 +246,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
     flips = [np.array([sum(1 << b for b in c) for r in range(t // 2 + 1) for c in itertools.combinations(range(WIDTH), r)], np.int64) if t >= 0 else np.array([], np.int64) for t in thresholds]
     cut = nodes.sparkSession.sparkContext.broadcast((groups, flips, {p: {int(v): int(blocks[p][v]) for v in np.flatnonzero(blocks[p] > 1)} for p in range(parts)}))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch], radius: bool) -> Iterator[pa.RecordBatch]:
         groups, flips, large = cut.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -236,7 +255,7 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
                 values = _values(prints, groups)
                 own = (prints[:, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
                 rows, keys = [], []
-                for p, masks in enumerate(flips):
+                for p, masks in enumerate(flips if radius else [m[:1] for m in flips]):
                     if not len(masks):
                         continue
                     bucket = (values[:, p, None] ^ masks).ravel()
@@ -250,7 +269,8 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
                         rows.append(np.full(n, r))
                         keys.append((((b + (p << WIDTH)) << 40) | np.minimum(mine, np.arange(n)) << 20 | np.maximum(mine, np.arange(n))).astype(np.int64))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["bucket", "fp"])
+                    taken = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(taken), batch.column(1).take(taken)], ["bucket", "fp", "root"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the last bucket so far, which the next batch may go on with
@@ -262,13 +282,27 @@ def links(nodes: DataFrame, distance: int, words: int = 1, probe_distance: int |
             whole = len(keys) if batch is None or not len(keys) else int(np.searchsorted(keys, keys[-1]))
             rest = table.slice(whole).to_batches()[0] if whole < len(keys) else None
             if whole:
-                fp = table.column(1).combine_chunks().slice(0, whole)
-                a, b = forest(keys[:whole], _words(fp, words), distance, 64 if any_part else probe)
+                fp, root = (table.column(k).slice(0, whole).combine_chunks() for k in (1, 2))
+                fp, root = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (fp, root))
+                known = root.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if root.null_count < whole else None
+                a, b = forest(keys[:whole], _words(fp, words), distance, 64 if any_part else probe, known)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (fp.take(pa.array(a)), fp.take(pa.array(b)))], ["u", "v"])
-
-    buckets = nodes.select("fp").mapInArrow(dealt, "bucket long, fp binary").repartition("bucket").sortWithinPartitions("bucket")
-    return buckets.mapInArrow(lambda batches: contract(joined(batches)), "u binary, v binary")
+                    names = pc.coalesce(root, fp)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["u", "v"])
+
+    def met(rows: DataFrame, radius: bool) -> DataFrame:
+        buckets = rows.mapInArrow(lambda batches: dealt(batches, radius), "bucket long, fp binary, root binary").repartition("bucket").sortWithinPartitions("bucket")
+        return buckets.mapInArrow(lambda batches: contract(joined(batches)), "u binary, v binary")
+
+    rows = nodes.select("fp", F.lit(None).cast("binary").alias("root"))
+    if max(map(len, flips)) <= 1:
+        return met(rows, True)
+    # kept first: where links come out of Python, a task that contracts them at once would hold two workers
+    kept = durable(gathered(durable(met(rows, False))))
+    # a node's smallest neighbour, in place of its component: what is kept tells the rest
+    known = kept.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), "v")))).groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("root"))
+    placed = nodes.select("fp").join(known, "fp", "left").select("fp", "root")
+    return kept.unionByName(met(placed, True))
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 3, words: int = 1, probe_distance: int | None = None, probes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
